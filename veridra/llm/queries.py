@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing
-from .common import table
+from . import bpe, langid, packing, quality_model
+from .common import fold, table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 PACK_VOCABULARY = "byte_bpe_50k.json"
@@ -39,9 +39,34 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on four folds of the labelled documents and score every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    sample = quality_model.labelled_sample(labels.filter(fold(F.col("doc_id"), 5) != 0))
+    weights = quality_model.train(docs, sample)
+    scored = docs.select("doc_id", quality_model.score(F.col("text"), weights, spark).alias("score"))
+    return scored.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on three of four folds and predict the language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.filter(fold(F.col("doc_id"), 4) != 2))
+    found = docs.select("doc_id", langid.predict(F.col("text"), model, spark).alias("found"))
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "found.lang_pred", "found.score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_harmonic_packing": op2_harmonic_packing,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
