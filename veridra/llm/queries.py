@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality_model
+from . import bpe, langid, packing, quality_model, quality_rules
 from .common import fold, table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -39,6 +39,12 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measure every document and judge it against its language and source."""
+    judged = quality_rules.judge(quality_rules.measure(table(spark, sf_dir, "documents")))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "distance")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on four folds of the labelled documents and score every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,6 +71,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_harmonic_packing": op2_harmonic_packing,
+    "op5_quality_rules": op5_quality_rules,
     "op7_quality_classifier": op7_quality_classifier,
     "op9_language_id": op9_language_id,
 }
