@@ -21,17 +21,20 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NONE = np.int64(1) << 62
+from .splitting import Splitter
+
 #: encoded pieces that a Python worker remembers before it starts afresh
-CACHE_PIECES = 300_000
+CACHE_PIECES = 400_000
 #: longer pieces are not remembered
 CACHE_PIECE_CHARS = 64
 #: characters of text that a worker splits before it encodes their new pieces
-CHUNK_CHARS = 1 << 18
+CHUNK_CHARS = 1 << 21
+#: rows of a batch that a worker turns into Python objects at once
+PART_ROWS = 500
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,53 +42,95 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class ByteBPE:
-    """Encoder and decoder for one table of ranks."""
+class PairRanks:
+    """Open-addressed table from pairs of ids to the rank of their merge."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
-        self._keys = np.array(sorted(pairs), np.int64)
-        self._ranks = np.array([pairs[k] for k in self._keys.tolist()], np.int64)
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
+        self._keys, self._ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        keys = np.fromiter(pairs, np.int64, len(pairs))
+        values = np.fromiter(pairs.values(), np.int32, len(pairs))
+        slots = self._slots(keys)
+        while keys.size:
+            free = np.flatnonzero(self._keys[slots] < 0)
+            slot, first = np.unique(slots[free], return_index=True)
+            placed = free[first]
+            self._keys[slot], self._ranks[slot] = keys[placed], values[placed]
+            rest = np.ones(keys.size, bool)
+            rest[placed] = False
+            keys, values, slots = keys[rest], values[rest], (slots[rest] + 1) & self._mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self._shift).view(np.int64)
+
+    def __call__(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair; -1 where there is no merge or an id is negative."""
+        keys = left.astype(np.int64) << 32 | right
+        keys[(left < 0) | (right < 0)] = -1
+        slots = self._slots(keys)
+        found = self._keys[slots]
+        ranks = np.where(found == keys, self._ranks[slots], np.int32(-1))
+        open_ = np.flatnonzero((found != keys) & (found >= 0) & (keys >= 0))
+        while open_.size:
+            slots[open_] = (slots[open_] + 1) & self._mask
+            found = self._keys[slots[open_]]
+            hit = found == keys[open_]
+            ranks[open_[hit]] = self._ranks[slots[open_[hit]]]
+            open_ = open_[~hit & (found >= 0)]
+        return ranks
+
 
-    def _pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank of each pair, ``_NONE`` where an id is negative or no merge exists."""
-        wanted = (left << 32) | np.maximum(right, 0)
-        at = np.minimum(np.searchsorted(self._keys, wanted), len(self._keys) - 1)
-        found = (self._keys[at] == wanted) & (left >= 0) & (right >= 0)
-        return np.where(found, self._ranks[at], _NONE)
+class ByteBPE:
+    """Encoder and decoder for one table of ranks."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.pair_ranks = PairRanks(ranks)
+        tokens = {rank: token for token, rank in ranks.items()}
+        known = [tokens.get(i) for i in range(max(tokens) + 1)]
+        self._sizes = np.array([-1 if t is None else len(t) for t in known], np.int64)
+        self._text = np.frombuffer(b"".join(t or b"" for t in known), np.uint8)
+        self._starts = np.cumsum(np.maximum(self._sizes, 0)) - np.maximum(self._sizes, 0)
 
     def _encode_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
         """Encode pieces of 2 to ``width`` bytes (a power of two) as rows of one forest."""
         rows = len(pieces)
-        lengths = np.fromiter(map(len, pieces), np.int64, rows)
-        spots = np.arange(width)
-        inside = spots < lengths[:, None]
-        ids = np.full((rows, width + 1), -1, np.int64)
-        ids[:, :width][inside] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
-        after = np.minimum(np.broadcast_to(spots + 1, (rows, width)), lengths[:, None])
-        after = np.concatenate([after, np.full((rows, 1), width)], 1)
-        after[after == lengths[:, None]] = width  # past the end: a column that stays empty
-        before = np.broadcast_to(np.arange(-1, width), (rows, width + 1)).copy()
-        tree = np.full((rows, 2 * width), _NONE, np.int64)
-        rank = self._pair_rank(ids[:, : width - 1].ravel(), ids[:, 1:width].ravel()).reshape(rows, width - 1)
-        tree[:, width : 2 * width - 1] = np.where(rank < _NONE, rank * width + spots[:-1], _NONE)
+        kind = np.int32 if len(self._sizes) * width < 1 << 31 else np.int64
+        none = np.iinfo(kind).max
+        lengths = np.fromiter(map(len, pieces), np.int32, rows)
+        spots = np.arange(width, dtype=np.int32)
+        ids = np.full((rows, width + 1), -1, np.int32)
+        ids[:, :width][spots < lengths[:, None]] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        # the live neighbours; past the end stands a column that stays empty
+        after = np.empty((rows, width + 1), np.int32)
+        after[:, :width] = spots + 1
+        after[:, width] = width
+        after[np.arange(rows), lengths - 1] = width
+        before = np.broadcast_to(np.arange(-1, width, dtype=np.int32), (rows, width + 1)).copy()
+
+        def leaves(rank: np.ndarray, spot: np.ndarray) -> np.ndarray:
+            return np.where(rank >= 0, rank.astype(kind) * kind(width) + spot.astype(kind), kind(none))
+
+        tree = np.full((rows, 2 * width), none, kind)
+        rank = self.pair_ranks(ids[:, : width - 1].ravel(), ids[:, 1:width].ravel()).reshape(rows, width - 1)
+        tree[:, width : 2 * width - 1] = leaves(rank, spots[:-1])
         level = width
         while level > 1:
             level //= 2
             tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
 
-        live = np.flatnonzero(tree[:, 1] < _NONE)
+        live = np.flatnonzero(tree[:, 1] < none)
         while live.size:
             best = tree[live, 1]
-            here, new = best % width, best // width
+            here, new = best % kind(width), (best // kind(width)).astype(np.int32)
             gone = after[live, here]
             right = after[live, gone]
             left = before[live, here]
@@ -93,25 +138,23 @@ class ByteBPE:
             ids[live, gone] = -1
             after[live, here] = right
             before[live, right] = here
-            has_left = left >= 0
-            left_spot = np.where(has_left, left, here)
-            rank = self._pair_rank(new, ids[live, right])
-            tree[live, width + gone] = _NONE
-            tree[live, width + here] = np.where(rank < _NONE, rank * width + here, _NONE)
-            rank = self._pair_rank(np.where(has_left, ids[live, left_spot], -1), new)
-            row_left = live[has_left]
-            spot = left_spot[has_left]
-            rank = rank[has_left]
-            tree[row_left, width + spot] = np.where(rank < _NONE, rank * width + spot, _NONE)
+            with_left = np.flatnonzero(left >= 0)
+            row_left, left = live[with_left], left[with_left]
+            ranks = self.pair_ranks(
+                np.concatenate([new, ids[row_left, left]]), np.concatenate([ids[live, right], new[with_left]])
+            )
+            tree[live, width + gone] = none
+            tree[live, width + here] = leaves(ranks[: live.size], here)
+            tree[row_left, width + left] = leaves(ranks[live.size :], left)
             row = np.concatenate([live, live, row_left])
-            node = width + np.concatenate([here, gone, spot])
+            node = width + np.concatenate([here, gone, left])
             for _ in range(width.bit_length() - 1):
                 node >>= 1
                 tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
-            live = live[tree[live, 1] < _NONE]
+            live = live[tree[live, 1] < none]
 
         kept = ids[:, :width] >= 0
-        flat = ids[:, :width][kept].astype("<i4").tobytes()
+        flat = ids[:, :width][kept].astype("<i4", copy=False).tobytes()
         ends = (4 * np.cumsum(kept.sum(1))).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
@@ -131,18 +174,24 @@ class ByteBPE:
                     out[i] = ids
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        try:
-            return b"".join(map(self.tokens.__getitem__, ids))
-        except KeyError as missing:
-            raise ValueError(f"no token has id {missing}") from None
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ``ids`` stand for, joined, and where each id's bytes end."""
+        if ids.size and not 0 <= ids.min() <= ids.max() < len(self._sizes):
+            raise ValueError("an id has no token")
+        sizes = self._sizes[ids]
+        if ids.size and sizes.min() < 0:
+            raise ValueError("an id has no token")
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if ids.size else 0
+        at = np.repeat(self._starts[ids] - ends + sizes, sizes) + np.arange(total)
+        return self._text[at], ends
 
 
 class TextEncoder:
     """Splits texts by a pattern and encodes the pieces, remembering frequent ones."""
 
     def __init__(self, bpe: ByteBPE, pattern: str):
-        self.bpe, self.split, self.known = bpe, regex.compile(pattern).findall, {}
+        self.bpe, self.split, self.known = bpe, Splitter(pattern), {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian int32 ids of each text."""
@@ -194,7 +243,11 @@ def encode(text: Column, ranks_path: str, pattern: str) -> Column:
         key = (ranks_path, pattern)
         if key not in _ENCODERS:
             _ENCODERS[key] = TextEncoder(_bpe(ranks_path), pattern)
-        return id_lists(_ENCODERS[key].encode(texts.to_pylist()))
+        # a part of the batch at a time: long texts are not all decoded at once
+        encoded = []
+        for start in range(0, len(texts), PART_ROWS):
+            encoded += _ENCODERS[key].encode(texts.slice(start, PART_ROWS).to_pylist())
+        return id_lists(encoded)
 
     return byte_bpe_encode(text)
 
@@ -205,6 +258,15 @@ def decode(ids: Column, ranks_path: str) -> Column:
     @F.arrow_udf("binary")
     def byte_bpe_decode(lists: pa.Array) -> pa.Array:
         bpe = _bpe(ranks_path)
-        return pa.array([bpe.decode(x or []) for x in lists.to_pylist()], pa.binary())
+        decoded = []
+        for start in range(0, len(lists), PART_ROWS):
+            part = lists.slice(start, PART_ROWS)
+            flat = part.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))
+            text, token_ends = bpe.decode(flat)
+            cuts = np.concatenate([[0], token_ends])[np.concatenate([[0], ends])]
+            raw, cuts = text.tobytes(), cuts.tolist()
+            decoded += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+        return pa.array(decoded, pa.binary())
 
     return byte_bpe_decode(ids)
