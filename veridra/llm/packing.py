@@ -21,15 +21,19 @@ gives no rows. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .bpe import CACHE_PIECE_CHARS, CACHE_PIECES, CHUNK_CHARS, id_lists
+from .bpe import id_lists
+from .splitting import is_plain
 
 CAPACITY, CLASSES, SLACK = 1024, 32, 10
 
@@ -165,52 +169,60 @@ def pack(
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, PIECES)
 
 
-#: characters for which the installed library and the pattern module split alike
-_PLAIN = regex.compile(r"[\x00-ɏ]*")
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
 class VocabularyTokenizer:
-    """Ids of texts by a ``tokenizers`` file of the byte-level kind.
+    """Ids of texts by a ``tokenizers`` file.
 
-    The library encodes whole pieces of text between split points independently,
-    so pieces that were seen before are taken from memory. Texts with characters
-    whose class may differ between Unicode versions go to the library whole.
+    A byte-level BPE file whose merges stand in the order of their ids is run by
+    the faster of the two installed libraries, which then gives the same ids. Any
+    other file, and texts with characters whose class may differ between the two
+    libraries' Unicode versions, go to ``tokenizers`` itself. Strings of special
+    tokens are ordinary text.
     """
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.split, self.known = regex.compile(_SPLIT).findall, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<i4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        out, chunk, chars = [], [], 0
-        for text in texts:
-            chunk.append(text or "")
-            chars += len(chunk[-1])
-            if chars >= CHUNK_CHARS:
-                out += self._chunk(chunk)
-                chunk, chars = [], 0
-        return out + self._chunk(chunk)
-
-    def _chunk(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_PIECES:
-            self.known = {}
-        split = [self.split(text) if _PLAIN.fullmatch(text) else [text] for text in texts]
-        new = list(set().union(*split).difference(self.known)) if split else []
-        found = dict(zip(new, self._ids(new)))
-        ids_of = self.known
-        long = {p: x for p, x in found.items() if len(p) > CACHE_PIECE_CHARS}
-        ids_of.update((p, x) for p, x in found.items() if p not in long)
-        return [b"".join([ids_of[p] if p in ids_of else long[p] for p in pieces]) for pieces in split]
+        self.quick = _as_ranks(json.loads(self.library.to_str()))
+
+    def ids(self, text: str | None) -> bytes:
+        """Little-endian int32 ids of a whole text."""
+        if not text:
+            return b""
+        if self.quick is not None and is_plain(text):
+            return self.quick.encode_to_numpy(text, disallowed_special=()).astype("<i4", copy=False).tobytes()
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+
+
+#: fixed value: the split pattern of the byte-level pre-tokenizer
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_of_sign() -> dict[str, int]:
+    """The byte for which each sign of a byte-level vocabulary stands."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def _as_ranks(spec: dict) -> tiktoken.Encoding | None:
+    """A rank encoding equal to the file's model, or None where it isn't of that kind."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and not any(
+        model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    )
+    split = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if not (plain and split) or spec.get("normalizer"):
+        return None
+    vocab = model["vocab"]
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    signs = _byte_of_sign()
+    ranks = {bytes(signs[c] for c in token): i for token, i in vocab.items() if token not in special}
+    singles = sorted(i for token, i in ranks.items() if len(token) == 1)
+    if merged != sorted(set(merged)) or len(singles) != 256 or len(merged) + 256 != len(ranks) or merged[0] <= singles[-1]:
+        return None
+    return tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 _TOKENIZERS: dict[str, VocabularyTokenizer] = {}
@@ -223,7 +235,8 @@ def tokenize(text: Column, tokenizer_path: str, end_id: int | None = 0) -> Colum
     def vocabulary_ids(texts: pa.Array) -> pa.Array:
         if tokenizer_path not in _TOKENIZERS:
             _TOKENIZERS[tokenizer_path] = VocabularyTokenizer(tokenizer_path)
+        ids = _TOKENIZERS[tokenizer_path].ids
         tail = b"" if end_id is None else int(end_id).to_bytes(4, "little", signed=True)
-        return id_lists([x + tail for x in _TOKENIZERS[tokenizer_path].encode(texts.to_pylist())])
+        return id_lists([ids(x.as_py()) + tail for x in texts])
 
     return vocabulary_ids(text)
