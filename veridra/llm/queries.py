@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality_model, quality_rules, simhash, substring_dedup
+from . import bpe, embedding_dedup, langid, packing, quality_model, quality_rules, simhash, substring_dedup
 from .common import fold, table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -80,6 +80,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "found.lang_pred", "found.score")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of every embedding."""
+    return embedding_dedup.components(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_harmonic_packing": op2_harmonic_packing,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_simhash": op8_simhash,
     "op9_language_id": op9_language_id,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
