@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, langid, packing, quality_model, quality_rules, simhash, substring_dedup
+from . import bpe, embedding_dedup, html_text, langid, packing, quality_model, quality_rules, simhash, substring_dedup
 from .common import fold, table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -39,6 +39,12 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title and visible text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", html_text.extract(F.col("html")).alias("found"))
+    return pages.select("page_id", "found.title", "found.text", F.length("found.text").cast("long").alias("n_chars"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measure every document and judge it against its language and source."""
     judged = quality_rules.judge(quality_rules.measure(table(spark, sf_dir, "documents")))
@@ -88,6 +94,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_harmonic_packing": op2_harmonic_packing,
+    "op3_html_extraction": op3_html_extraction,
     "op5_quality_rules": op5_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_classifier": op7_quality_classifier,
