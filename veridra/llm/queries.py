@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, html_text, langid, packing, quality_model, quality_rules, simhash, substring_dedup
+from . import bpe, embedding_dedup, html_text, langid, licenses, packing, quality_model, quality_rules, simhash, substring_dedup
 from .common import fold, table
 
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -45,6 +45,14 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "found.title", "found.text", F.length("found.text").cast("long").alias("n_chars"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every document, its place being source/language/id."""
+    docs = table(spark, sf_dir, "documents")
+    parts = (F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    files = docs.select("doc_id", F.concat_ws("/", *parts).alias("path"), "text")
+    return licenses.inherit(licenses.scan(files, keep=("doc_id",)))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measure every document and judge it against its language and source."""
     judged = quality_rules.judge(quality_rules.measure(table(spark, sf_dir, "documents")))
@@ -95,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_harmonic_packing": op2_harmonic_packing,
     "op3_html_extraction": op3_html_extraction,
+    "op4_license_scan": op4_license_scan,
     "op5_quality_rules": op5_quality_rules,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_quality_classifier": op7_quality_classifier,
