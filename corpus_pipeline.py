@@ -1,15 +1,84 @@
-"""The corpus pipeline: stages over ``documents``, each feeding the next."""
+"""The corpus pipeline: five stages over ``documents``, each feeding the next.
+
+Language ID drops texts without a language, the quality classifier drops what it
+scores low, near-duplicate groups keep one document, repeated passages are cut out
+of the texts, and what is left is packed into token sequences. All stages but the
+last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veridra.llm import langid, packing, quality_model, simhash, substring_dedup
+from veridra.llm.common import fold, shared_folder, ship, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is in one of the languages learned from ``docs``."""
+    ship(spark)
+    model = langid.train(docs.filter(fold(F.col("doc_id"), 4) != 2))
+    found = docs.withColumn("found_language", langid.predict(F.col("text"), model, spark))
+    return langid.select_languages(found, F.col("found_language.lang_pred")).select(*docs.columns)
+
+
+def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches the threshold."""
+    labels = table(spark, sf_dir, "labels").filter(fold(F.col("doc_id"), 5) != 0)
+    weights = quality_model.train(docs, quality_model.labelled_sample(labels))
+    scored = docs.withColumn("found_quality", quality_model.score(F.col("text"), weights, spark))
+    return scored.filter(F.col("found_quality") >= quality_model.THRESHOLD).select(*docs.columns)
+
 
-STAGES = []
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest id."""
+    ship(spark)
+    return simhash.drop_near_duplicates(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that an earlier one has; other texts are untouched."""
+    ship(spark)
+    done = substring_dedup.remove_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars"))
+    changed = {"text": text, "n_chars": n_chars.cast(docs.schema["n_chars"].dataType)}
+    return done.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences: one row per piece."""
+    ship(spark)
+    ids = packing.tokenize(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs.select("doc_id", ids.alias("ids")))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("quality_classifier", classify_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("substring_dedup", cut_repeats),
+    ("packing", pack_sequences),
+]
+
+#: training and tokenising are beyond SQL
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over the documents of ``sf_dir``.
+
+    Stages read their input more than once, so all but the last are written to the
+    shared folder and read again, as the stages of a longer pipeline would be.
+    """
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
