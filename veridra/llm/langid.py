@@ -19,6 +19,7 @@ The score is the winner's share of the posterior over languages.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,21 +31,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch
+from .splitting import is_plain, plain_pattern
 
 MAX_GRAM, BACKOFF = 4, 1.0
 MAX_WORDS, MAX_GRAMS = 60_000, 20_000
 UNKNOWN = "und"
 
 _WORDS = regex.compile(r"\p{L}+(?:\p{M}+\p{L}*)*").findall
+_PLAIN_WORDS = re.compile(plain_pattern(r"\p{L}+")).findall
 #: longer runs of letters are cut into stretches of this length
 WORD_CHARS = 48
-#: words that a worker counts before it hands the counts on
-FLUSH_WORDS = 400_000
+#: words that a worker counts before it hands the counts on, and that it remembers
+FLUSH_WORDS, CACHE_WORDS = 400_000, 300_000
 
 
 def words_of(text: str) -> list[str]:
-    words = _WORDS(text.lower())
-    if any(len(w) > WORD_CHARS for w in words):
+    lowered = text.lower()
+    words = _PLAIN_WORDS(lowered) if is_plain(lowered) else _WORDS(lowered)
+    if words and max(map(len, words)) > WORD_CHARS:
         words = [w[i : i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)]
     return words
 
@@ -63,19 +67,60 @@ class LanguageModel:
     grams: dict[str, int]  # every order; their lengths differ
     scores: np.ndarray
 
-    def word_scores(self, word: str) -> np.ndarray:
-        """Per-language log frequency of a word, backing off where it is unseen."""
-        known = self.words.get(word)
-        if known is not None:
-            return self.scores[known]
-        total, penalty = np.zeros(len(self.languages)), 0.0
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """Per-language log frequencies of words, backing off where they are unseen."""
+        out = np.zeros((len(words), len(self.languages)))
+        known = [(i, row) for i, w in enumerate(words) if (row := self.words.get(w)) is not None]
+        if known:
+            at, rows = map(list, zip(*known))
+            out[at] = self.scores[rows]
+        rest = [(i, w) for i, w in enumerate(words) if w not in self.words]
         for order in range(MAX_GRAM, 0, -1):
-            grams = grams_of(word, order)
-            found = [self.grams[g] for g in grams if g in self.grams]
-            if 2 * len(found) >= len(grams) and found:
-                return self.scores[found].mean(0) - penalty
-            penalty += BACKOFF
-        return total
+            at, sizes, rows, left = [], [], [], []
+            for i, word in rest:
+                grams = grams_of(word, order)
+                found = [row for g in grams if (row := self.grams.get(g)) is not None]
+                if found and 2 * len(found) >= len(grams):
+                    at.append(i)
+                    sizes.append(len(found))
+                    rows += found
+                else:
+                    left.append((i, word))
+            if at:
+                starts = np.cumsum([0, *sizes[:-1]])
+                means = np.add.reduceat(self.scores[rows], starts, axis=0) / np.array(sizes)[:, None]
+                out[at] = means - BACKOFF * (MAX_GRAM - order)
+            rest = left
+        return out
+
+
+class Classifier:
+    """Applies a model to texts, remembering the scores of words."""
+
+    def __init__(self, model: LanguageModel):
+        self.model, self.known = model, {}
+        self.table = np.zeros((CACHE_WORDS, len(model.languages)))
+
+    def __call__(self, text: str | None) -> tuple[str, float]:
+        words = words_of(text) if text else []
+        if not words or not self.model.languages:
+            return UNKNOWN, 0.0
+        total = np.zeros(len(self.model.languages))
+        for start in range(0, len(words), CACHE_WORDS):  # a longer text is scored in parts
+            total += self._total(words[start : start + CACHE_WORDS])
+        best = int(np.argmax(total))
+        return self.model.languages[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
+
+    def _total(self, words: list[str]) -> np.ndarray:
+        new = list(set(words).difference(self.known))
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known, new = {}, list(set(words))
+        if new:
+            first = len(self.known)
+            self.table[first : first + len(new)] = self.model.score_words(sorted(new))
+            self.known.update(zip(sorted(new), range(first, first + len(new))))
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        return self.table[at].sum(0)
 
 
 def count_words(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -155,34 +200,18 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: in
     return LanguageModel(languages, words, grams, np.array(scores))
 
 
-def classify(text: str | None, model: LanguageModel, memory: dict[str, np.ndarray]) -> tuple[str, float]:
-    words = words_of(text) if text else []
-    if not words or not model.languages:
-        return UNKNOWN, 0.0
-    total = np.zeros(len(model.languages))
-    for word, n in Counter(words).items():
-        scores = memory.get(word)
-        if scores is None:
-            scores = memory[word] = model.word_scores(word)
-        total += n * scores
-    best = int(np.argmax(total))
-    return model.languages[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
-
-
 def predict(text: Column, model: LanguageModel, spark) -> Column:
     """``struct<lang_pred, score>`` of a whole text; the model is broadcast."""
     shared = spark.sparkContext.broadcast(model)
-    memory: dict[str, np.ndarray] = {}
 
     @F.arrow_udf("struct<lang_pred string, score double>")
-    def language_of(texts: pa.Array) -> pa.Array:
-        found = []
-        for text in texts.to_pylist():
-            if len(memory) > 200_000:
-                memory.clear()
-            found.append(classify(text, shared.value, memory))
-        langs, scores = zip(*found) if found else ((), ())
-        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+    def language_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        classify = Classifier(shared.value)
+        for texts in batches:
+            found = [classify(text.as_py()) for text in texts]
+            columns = list(zip(*found)) or [(), ()]
+            types = (pa.string(), pa.float64())
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["lang_pred", "score"])
 
     return language_of(text)
 
