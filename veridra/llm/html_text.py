@@ -49,8 +49,10 @@ MAX_PAD = 60
 MAX_SPAN = 1000
 INDENT = "  "
 
+# a quote counts where a value begins; repetition never backs up, so no page takes quadratic time
 _TOKEN = re.compile(
-    r"<(?:!--(.*?)(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[!?/]([^>]*)>)", re.S
+    r"<(?:!--(.*?)(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+)(>?)|[!?/]([^>]*+)(>?))",
+    re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
@@ -219,7 +221,7 @@ class Page:
 
     def text(self, text: str) -> None:
         top = self.open[-1]
-        if top.unseen or top.invisible:
+        if top.unseen or top.invisible or top.saved == "closed":
             return
         if "&" in text:
             text = unescape(text)
@@ -468,8 +470,11 @@ def render(page: str | None) -> tuple[str, str]:
             break
         if found.start() > at:
             built.text(page[at : found.start()])
-        at = found.end()
         tag = found[3]
+        if tag and not found[5] or found[6] is not None and not found[7]:
+            built.text(page[found.start() :])  # a tag that never ends is text
+            break
+        at = found.end()
         if not tag:
             continue
         tag = tag.lower()
