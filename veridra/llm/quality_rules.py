@@ -124,7 +124,7 @@ def _squared_distance() -> Column:
     for i in range(DIMENSIONS):
         for j in range(i, DIMENSIONS):
             total += F.lit(1.0 if i == j else 2.0) * F.col("precision")[i * DIMENSIONS + j] * apart[i] * apart[j]
-    return F.greatest(total, F.lit(0.0))
+    return F.when(total < 0, F.lit(0.0)).otherwise(total)  # null without an estimate
 
 
 def _distance_bin(distance: Column) -> Column:
