@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, scratch
 from .components import connected_components, local_components
 
 THRESHOLD = 0.9
@@ -120,8 +120,10 @@ def components(
     first = 0  # cells are numbered across the lengths
     for d, n in sorted((r["d"], r["n"]) for r in sizes):
         limit = max(64, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * d)))
-        sample = distinct.filter(F.size("vector") == d).orderBy("node").limit(limit).select("vector").collect()
-        fitted = spherical_kmeans(unit_rows(np.array([r["vector"] for r in sample])), min(MAX_CELLS, -(-n // CELL_VECTORS)))
+        # written first: a direct collect would bring every partition's candidates to the driver
+        with scratch(distinct.filter(F.size("vector") == d).orderBy("node").limit(limit).select("node", "vector")) as rows_d:
+            sample = sorted((r["node"], r["vector"]) for r in rows_d.collect())
+        fitted = spherical_kmeans(unit_rows(np.array([v for _, v in sample])), min(MAX_CELLS, -(-n // CELL_VECTORS)))
         centres[d] = (first, fitted)
         first += len(fitted)
     shared = spark.sparkContext.broadcast(centres)
