@@ -155,7 +155,9 @@ def count_words(docs: DataFrame, text: str, lang: str) -> DataFrame:
 def _top(counts: DataFrame, key: str, limit: int) -> list:
     """The ``limit`` most frequent keys, each with its counts by language."""
     by_key = counts.groupBy(key).agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
-    return by_key.orderBy(F.desc("total"), key).limit(limit).select(key, "by_lang").collect()
+    # written first: a direct collect would bring every partition's candidates to the driver
+    with scratch(by_key.orderBy(F.desc("total"), key).limit(limit)) as top:
+        return sorted(top.select("total", key, "by_lang").collect(), key=lambda r: (-r[0], r[1]))
 
 
 def _cuts(order: int) -> Column:
@@ -171,7 +173,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: in
 
     def frequencies(rows: list, totals: np.ndarray) -> dict[str, int]:
         places = {}
-        for key, by_lang in rows:
+        for _, key, by_lang in rows:
             row = np.log(0.5 / totals)
             for lang_, n in by_lang:
                 row[place[lang_]] = math.log(n / totals[place[lang_]])
