@@ -174,7 +174,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: in
     def frequencies(rows: list, totals: np.ndarray) -> dict[str, int]:
         places = {}
         for _, key, by_lang in rows:
-            row = np.log(0.5 / totals)
+            row = np.full(len(languages), math.log(0.5 / totals.max()))  # unseen: the same for all languages
             for lang_, n in by_lang:
                 row[place[lang_]] = math.log(n / totals[place[lang_]])
             places[key] = len(scores)
