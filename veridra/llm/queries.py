@@ -112,4 +112,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: what SQL can express: the other operators train, tokenise or hash in ways that it lacks
+ORACLE_SQL: dict[str, str] = {
+    "op6_substring_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+        p AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 49, 0) + 1)) AS i FROM w),
+        h AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS win FROM p),
+        f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first_id FROM h),
+        c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM f WHERE first_id < doc_id),
+        u AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS j FROM w),
+        k AS (SELECT u.doc_id, string_agg(word, ' ' ORDER BY u.j) AS kept, count(*) AS n_kept
+              FROM u LEFT JOIN c ON c.doc_id = u.doc_id AND c.j = u.j WHERE c.j IS NULL GROUP BY u.doc_id)
+        SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n_kept, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+    """,
+    "op10_embedding_dedup": """
+        WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.9),
+        reach(id, r) AS (SELECT vec_id, vec_id FROM e UNION SELECT reach.id, l.b FROM reach JOIN l ON reach.r = l.a),
+        c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM c LEFT JOIN n ON n.a = c.id
+    """,
+}
