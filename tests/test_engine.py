@@ -376,3 +376,27 @@ def test_incremental_stream(spark, tmp_path):
         consolidate_stream(arriving, str(tmp_path / "ev"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
         found = spark.read.parquet(str(tmp_path / "out")).orderBy("batch").collect()
         assert [r["full_name"]["value"] for r in found] == expected
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from veridra.__main__ import main
+
+    (tmp_path / "c.csv").write_text(HEADER + "K1,ann other,a@x.example,,,,,,,,python,3\n")
+    (tmp_path / "s.json").write_text(json.dumps({"fields": [{"path": "full_name"}], "include_confidence": False, "include_provenance": False}))
+    (tmp_path / "r.txt").write_text(RESUME.replace("Ana Prova", "Ann Other"))
+    (tmp_path / "g.json").write_text('{"username": "annother", "name": "Ann Other", "languages": ["Go"]}')
+    given = ["--config", str(tmp_path / "s.json"), "--csv", str(tmp_path / "c.csv")]
+    given += ["--resume", str(tmp_path / "r.txt"), "--github", str(tmp_path / "g.json"), "--stages", str(tmp_path / "out")]
+    assert main(given) == 0
+    lines = [x for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    assert [json.loads(x)["full_name"] for x in lines] == ["Ann Other"]
+    assert spark.read.parquet(str(tmp_path / "out/merged")).filter("field = 'skills'").count() >= 2
+    assert main(["--config", str(tmp_path / "none.json")]) == 2
+
+
+def test_later_resume_counts(spark, sources):
+    texts = [(p, k, "Resume_PDF", RESUME.replace("Senior engineer", h)) for p, k, h in (("b.pdf", 0, "First"), ("a.pdf", 1, "Second"))]
+    resumes = spark.createDataFrame(texts, "resume_path string, resume_ord int, kind string, text string")
+    found = consolidate.gather(spark, consolidate.Sources(csv=sources.csv, resumes=resumes))
+    headlines = found.filter("field = 'headline' AND profile_ord = 0").collect()
+    assert [r["raw"]["text"] for r in headlines] == ["Second"]

@@ -81,6 +81,11 @@ def match_profiles(profiles: DataFrame, rows: DataFrame) -> DataFrame:
     return _first(named.unionByName(contains_user).distinct(), side, keyed)
 
 
+def place_of(found: DataFrame) -> Column:
+    """Order of résumés or web profiles: as listed where that is known, else by name."""
+    return F.struct(*(c for c in ("resume_ord", "github_ord", "resume_path", "username") if c in found.columns))
+
+
 def resolve_id(given: str | None, resumes: DataFrame, profiles: DataFrame, rows: DataFrame) -> DataFrame:
     """One row, candidate_id: the given id, or else the first that sources suggest.
 
@@ -91,8 +96,8 @@ def resolve_id(given: str | None, resumes: DataFrame, profiles: DataFrame, rows:
     if given and given != "AUTO":
         return spark.createDataFrame([(given,)], "candidate_id string")
     firsts = [
-        resumes.filter("candidate_id IS NOT NULL").agg(F.min_by("candidate_id", "resume_path").alias("r")),
-        profiles.filter("candidate_id IS NOT NULL").agg(F.min_by("candidate_id", "username").alias("g")),
+        resumes.filter("candidate_id IS NOT NULL").agg(F.min_by("candidate_id", place_of(resumes)).alias("r")),
+        profiles.filter("candidate_id IS NOT NULL").agg(F.min_by("candidate_id", place_of(profiles)).alias("g")),
         rows.agg(F.min_by("candidate_id", "csv_ord").alias("c")),
     ]
     joined = firsts[0].crossJoin(firsts[1]).crossJoin(firsts[2])  # one row each

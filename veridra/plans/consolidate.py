@@ -93,12 +93,12 @@ def gather(spark: SparkSession, sources: Sources, candidate_id: str | None = Non
         return frame if one is None else frame.join(one, "candidate_id", "left_semi")
 
     if parsed is not None:
-        last = parsed.filter("candidate_id IS NOT NULL").groupBy("candidate_id").agg(F.max_by(F.struct(*parsed.columns), "resume_path").alias("r"))
+        last = parsed.filter("candidate_id IS NOT NULL").groupBy("candidate_id").agg(F.max_by(F.struct(*parsed.columns), match.place_of(parsed)).alias("r"))
         parsed = chosen(last.select("r.*"))
         parts.append(resume_text.evidence(parsed))
     if matched_github is not None:
         used = matched_github.filter("candidate_id IS NOT NULL").groupBy("candidate_id")
-        used = chosen(used.agg(F.max_by(F.struct(*matched_github.columns), "username").alias("g")).select("g.*"))
+        used = chosen(used.agg(F.max_by(F.struct(*matched_github.columns), match.place_of(matched_github)).alias("g")).select("g.*"))
         if one is not None:
             only = matched_github.agg(F.count("*").alias("n")).filter("n = 1")
             lone = matched_github.crossJoin(F.broadcast(only)).drop("n", "candidate_id").crossJoin(one)  # one row each

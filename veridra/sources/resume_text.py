@@ -10,6 +10,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -76,9 +77,10 @@ def pdf_text(content: bytes | None) -> str:
 
 
 def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """resume_path, kind and text of PDF, DOCX and plain-text files."""
+    """resume_path, resume_ord (place in ``paths``), kind and text of PDF, DOCX and plain-text files."""
     paths = [p.strip() for p in paths.split(",")] if isinstance(paths, str) else list(paths)
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    parts = [spark.read.format("binaryFile").load(p).select("path", "content", F.lit(i).alias("resume_ord")) for i, p in enumerate(paths)]
+    files = reduce(DataFrame.unionByName, parts)
 
     @F.pandas_udf("string")
     def text_of(names: pd.Series, contents: pd.Series) -> pd.Series:
@@ -90,7 +92,7 @@ def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         return pd.Series([one(n, c) for n, c in zip(names, contents)])
 
     kind = F.when(F.lower("path").endswith(".docx"), "Resume_DOCX").otherwise("Resume_PDF")
-    return files.select(F.col("path").alias("resume_path"), kind.alias("kind"), text_of("path", "content").alias("text"))
+    return files.select(F.col("path").alias("resume_path"), "resume_ord", kind.alias("kind"), text_of("path", "content").alias("text"))
 
 
 def respace(text: Column) -> Column:
