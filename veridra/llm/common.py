@@ -2,33 +2,31 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from ..session import ship
 
 #: bytes that separate words everywhere a contract says ``[^\x20\x09-\x0D]+``;
 #: ``bytes.split()`` without arguments splits on exactly these.
 WORD_SEPARATORS = " \t\n\x0b\x0c\r"
 
 
-def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package.
-
-    A deployment sends the package with ``--py-files``. On a machine or a shared
-    file system this adds the source root to the workers' path.
-    """
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if PACKAGE_ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *paths])
-    return spark
+def release_memory() -> None:
+    """Give freed memory back: Spark keeps a Python worker for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: it decides itself
+        pass
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import release_memory, scratch
 from .splitting import is_plain, plain_pattern
 
 MAX_GRAM, BACKOFF = 4, 1.0
@@ -42,7 +42,7 @@ _PLAIN_WORDS = re.compile(plain_pattern(r"\p{L}+")).findall
 #: longer runs of letters are cut into stretches of this length
 WORD_CHARS = 48
 #: words that a worker counts before it hands the counts on, and that it remembers
-FLUSH_WORDS, CACHE_WORDS = 400_000, 300_000
+FLUSH_WORDS, CACHE_WORDS = 150_000, 150_000
 
 
 def words_of(text: str) -> list[str]:
@@ -130,22 +130,24 @@ def count_words(docs: DataFrame, text: str, lang: str) -> DataFrame:
         counts: dict[str, Counter] = {}
         held = 0
 
-        def rows():
-            flat = [(lang, word, n) for lang, words in counts.items() for word, n in words.items()]
-            columns = list(zip(*flat)) or [(), (), ()]
-            types = (pa.string(), pa.string(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["lang", "word", "n"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, words in counts.items():
+                n = pa.array(words.values(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(words)), pa.array(words, pa.string()), n], ["lang", "word", "n"])
 
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = counts.setdefault(lang, Counter())
+            for text, lang in zip(*batch.columns):
+                words = counts.setdefault(lang.as_py(), Counter())
                 before = len(words)
-                words.update(words_of(text))
+                words.update(words_of(text.as_py()))
                 held += len(words) - before
                 if held > FLUSH_WORDS:
-                    yield rows()
-                    counts, held = {}, 0
-        yield rows()
+                    yield from rows()
+                    counts.clear()
+                    held = 0
+        yield from rows()
+        counts.clear()
+        release_memory()
 
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text), F.col(lang))
     partial = rows.mapInArrow(run, "lang string, word string, n long")
@@ -214,6 +216,8 @@ def predict(text: Column, model: LanguageModel, spark) -> Column:
             columns = list(zip(*found)) or [(), ()]
             types = (pa.string(), pa.float64())
             yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["lang_pred", "score"])
+        del classify
+        release_memory()
 
     return language_of(text)
 

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import id_lists
+from .common import release_memory
 from .splitting import is_plain
 
 CAPACITY, CLASSES, SLACK = 1024, 32, 10
@@ -165,6 +166,8 @@ def pack(
         placed += packer.finish()
         if placed:
             yield rows(placed)
+        del placed, packer
+        release_memory()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, PIECES)
 
@@ -180,10 +183,18 @@ class VocabularyTokenizer:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.quick = _as_ranks(json.loads(self.library.to_str()))
+        self.path, self._library = path, None
+        with open(path, encoding="utf-8") as file:
+            self.quick = _as_ranks(json.load(file))
+
+    @property
+    def library(self) -> Tokenizer:
+        """Loaded when a text first needs it."""
+        if self._library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            self._library = Tokenizer.from_file(self.path)
+            self._library.encode_special_tokens = True
+        return self._library
 
     def ids(self, text: str | None) -> bytes:
         """Little-endian int32 ids of a whole text."""
@@ -232,11 +243,13 @@ def tokenize(text: Column, tokenizer_path: str, end_id: int | None = 0) -> Colum
     """``array<int>``: ids of the whole text, then ``end_id`` if there is one."""
 
     @F.arrow_udf("array<int>")
-    def vocabulary_ids(texts: pa.Array) -> pa.Array:
+    def vocabulary_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if tokenizer_path not in _TOKENIZERS:
             _TOKENIZERS[tokenizer_path] = VocabularyTokenizer(tokenizer_path)
         ids = _TOKENIZERS[tokenizer_path].ids
         tail = b"" if end_id is None else int(end_id).to_bytes(4, "little", signed=True)
-        return id_lists([ids(x.as_py()) + tail for x in texts])
+        for texts in batches:
+            yield id_lists([ids(x.as_py()) + tail for x in texts])
+        release_memory()
 
     return vocabulary_ids(text)

@@ -22,13 +22,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 BITS, MAX_ROWS, EPOCHS = 18, 10_000, 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 1e-4, 1e-4
 THRESHOLD = 0.3
@@ -39,7 +40,7 @@ _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 #: longer runs are hashed by their first characters' worth of pieces
 RUN_CHARS = 64
-CACHE_RUNS = 400_000
+CACHE_RUNS = 150_000
 
 
 class Hasher:
@@ -98,7 +99,7 @@ class FTRL:
 
 
 def _with_bias(index: np.ndarray, value: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.append(index, 1 << bits), np.append(value, 1.0)
+    return np.append(index, np.int32(1 << bits)), np.append(value, value.dtype.type(1))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> np.ndarray:
@@ -127,7 +128,7 @@ def train(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Hasher(bits)
         for batch in batches:
-            found = [hashed(x) for x in batch.column("text").to_pylist()]
+            found = [hashed(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("label_id"),
@@ -137,6 +138,8 @@ def train(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str
                 ],
                 ["label_id", "label", "indices", "vals"],
             )
+        del hashed
+        release_memory()
 
     key_type = dict(rows.dtypes)["label_id"]
     vector_rows = rows.select("label_id", "label", "text").mapInArrow(
@@ -147,8 +150,9 @@ def train(docs: DataFrame, sample: DataFrame, doc_id: str = "doc_id", text: str
         held = {}
         for batch in batches:
             for key, y, i, v in zip(*(c.to_pylist() for c in batch.columns)):
-                held[str(key)] = (np.frombuffer(i, np.int32), np.frombuffer(v, np.float32).astype(float), y)
-        weights = fit([held[k] for k in sorted(held)], bits)
+                held[str(key)] = (np.frombuffer(i, np.int32), np.frombuffer(v, np.float32), y)
+        weights = fit([held.pop(k) for k in sorted(held)], bits)
+        release_memory()
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary())], ["weights"])
 
     learned = vector_rows.dropDuplicates(["label_id"]).repartition(1).mapInArrow(learn, "weights binary").collect()
@@ -160,12 +164,14 @@ def score(text: Column, weights: np.ndarray, spark, bits: int = BITS) -> Column:
     """Probability of label 1 for a whole text."""
     shared = spark.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("double")
-    def quality_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def quality_score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashed = Hasher(bits)
         w = shared.value
         for texts in batches:
-            dots = np.array([w[i] @ v for i, v in map(hashed, texts)] or [], float) + w[-1]
-            yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(dots, -35, 35))))
+            dots = np.array([w[i] @ v for i, v in (hashed(x.as_py()) for x in texts)] or [], float) + w[-1]
+            yield pa.array(1.0 / (1.0 + np.exp(-np.clip(dots, -35, 35))), pa.float64())
+        del hashed
+        release_memory()
 
     return quality_score(text)

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shuffle_width
+from .common import checkpointed, release_memory, shuffle_width
 from .components import connected_components, local_components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -75,8 +75,10 @@ def fingerprint(text: Column) -> Column:
     """``long``: the 64-bit fingerprint of a whole text."""
 
     @F.arrow_udf("long")
-    def simhash64(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint_of(x.as_py()) for x in texts], pa.int64())
+    def simhash64(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([fingerprint_of(x.as_py()) for x in texts], pa.int64())
+        release_memory()
 
     return simhash64(text)
 
@@ -245,6 +247,7 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
             held = table.slice(cut).to_batches()
         if held:
             yield link(pa.Table.from_batches(held))
+        release_memory()
 
     return rows.mapInArrow(run, "u long, v long")
 

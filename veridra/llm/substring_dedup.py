@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import release_memory
+
 WINDOW = 50
 BLOCK_BYTES = 6 << 20
 #: windows that one range of hashes should hold
 RANGE_WINDOWS = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: words whose hashes a worker remembers
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -200,6 +202,8 @@ def remove_repeats(
         distinct = block_of_table(table).distinct
         ends = np.searchsorted(distinct, range_cuts(ranges)).tolist() + [len(distinct)]
         parts = [(i, pack_sorted(distinct[a:b])) for i, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
+        del distinct
+        release_memory()
         return pa.table(
             {
                 "span": pa.array([i for i, _ in parts], pa.int64()),
@@ -218,6 +222,8 @@ def remove_repeats(
         seen[order[1:]] = ranked[1:] == ranked[:-1]
         bits = [np.packbits(x) for x in np.split(seen, np.cumsum([len(x) for x in parts])[:-1])]
         told = [(block, x.tobytes()) for (block, _), x in zip(rows, bits) if x.any()]
+        del parts, joined, order, ranked, seen, bits
+        release_memory()
         return pa.table(
             {
                 "block": pa.array([b for b, _ in told], pa.int64()),
@@ -245,6 +251,8 @@ def remove_repeats(
             n_removed.append(len(words) - len(kept))
             kept_texts.append(b" ".join(kept).decode())
             removed.append([{"from": a, "to": b} for a, b in spans])
+        del block, earlier
+        release_memory()
         made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_texts, pa.string()), pa.array(removed, removed_type)]
         return pa.table([*(table[f.name] for f in fields), *made], [*(f.name for f in fields), *RESULT_COLUMNS])
 
