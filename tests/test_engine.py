@@ -249,7 +249,7 @@ def test_rules(spark):
     rows = [("K", 0, 0, "full_name", "A", "s", 0.4), ("K", 0, 1, "skills", "go", "s", 0.9), ("K", 0, 2, "skills", "Ada", "s", 0.9)]
     rows += [("K", 0, 3, "skills", "c", "s", 0.3)]
     scored = confidence.score(voted(spark, rows))
-    profiles = profile.assemble(scored, confidence.overall(scored))
+    profiles = profile.assemble(scored)
     wanted = {"min_field_confidence": 0.5, "skill_blacklist": [" GO "], "required_fields": ["emails", "skills", "full_name"]}
     row = rules.apply(profiles, wanted).first()
     assert row["full_name"] is None and [s["value"] for s in row["skills"]] == ["Ada"]

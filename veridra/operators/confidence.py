@@ -74,16 +74,22 @@ def score(merged: DataFrame) -> DataFrame:
     )
 
 
+def overall_parts() -> list[Column]:
+    """Aggregates of a candidate's merged rows from which ``overall_of`` scores it."""
+    sources = F.array_union(F.array(F.col("provenance.source")), F.transform("provenance.rejected_sources", lambda r: r["source"]))
+    return [
+        F.sort_array(F.collect_list(F.struct("field", "cluster", "confidence"))).alias("overall_scores"),
+        F.flatten(F.collect_list(sources)).alias("overall_sources"),
+    ]
+
+
+def overall_of(scores: Column, sources: Column) -> Column:
+    """Mean of the fields, added in a fixed order, and more with several sources."""
+    mean = F.aggregate(scores, F.lit(0.0), lambda total, s: total + s["confidence"]) / F.size(scores)
+    return bounded(mean + F.when(F.size(F.array_distinct(sources)) > 1, SOURCE_BONUS).otherwise(0.0))
+
+
 def overall(scored: DataFrame) -> DataFrame:
-    """candidate_id, overall_confidence: mean of the fields, more with several sources."""
-    sources = F.array_union(
-        F.array(F.col("provenance.source")), F.transform("provenance.rejected_sources", lambda r: r["source"])
-    )
-    rows = scored.select("candidate_id", "cluster", "field", "confidence", sources.alias("sources"))
-    ordered = F.sort_array(F.collect_list(F.struct("field", "cluster", "confidence")))
-    by_candidate = rows.groupBy("candidate_id").agg(
-        F.transform(ordered, lambda r: r["confidence"]).alias("scores"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("n"),
-    )
-    mean = F.aggregate("scores", F.lit(0.0), lambda t, s: t + s) / F.size("scores")
-    return by_candidate.select("candidate_id", bounded(mean + F.when(F.col("n") > 1, SOURCE_BONUS).otherwise(0.0)).alias("overall_confidence"))
+    """candidate_id, overall_confidence."""
+    parts = scored.groupBy("candidate_id").agg(*overall_parts())
+    return parts.select("candidate_id", overall_of(F.col("overall_scores"), F.col("overall_sources")).alias("overall_confidence"))

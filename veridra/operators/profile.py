@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import ARRAYS, SCALARS, part_of
+from .confidence import overall_of, overall_parts
 
 
 def tracked(field: str) -> Column:
@@ -20,11 +21,15 @@ def tracked(field: str) -> Column:
     )
 
 
-def assemble(scored: DataFrame, overall: DataFrame | None = None) -> DataFrame:
-    """Scalars null and arrays empty where a candidate has no such evidence; clusters in order."""
+def assemble(scored: DataFrame) -> DataFrame:
+    """Scalars null and arrays empty where a candidate has no such evidence, clusters in order; overall confidence.
+
+    One grouping on candidate_id, by which the votes are already dealt out.
+    """
     columns = [F.first(F.when(F.col("field") == f, tracked(f)), ignorenulls=True).alias(f) for f in SCALARS]
     for f in ARRAYS:
         rows = F.sort_array(F.collect_list(F.when(F.col("field") == f, F.struct("cluster", tracked(f).alias("kept")))))
         columns.append(F.transform(rows, lambda r: r["kept"]).alias(f))
-    profiles = scored.groupBy("candidate_id").agg(*columns)
-    return profiles if overall is None else profiles.join(overall, "candidate_id", "left")
+    profiles = scored.groupBy("candidate_id").agg(*columns, *overall_parts())
+    overall = overall_of(F.col("overall_scores"), F.col("overall_sources"))
+    return profiles.select("candidate_id", *SCALARS, *ARRAYS, overall.alias("overall_confidence"))

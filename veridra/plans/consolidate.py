@@ -134,7 +134,7 @@ def run(spark: SparkSession, sources: Sources, settings: dict | None = None, can
     extracted = gather(spark, sources, candidate_id, resumes_need_csv, every)
     now = datetime.now(timezone.utc).isoformat()
     normalized, merged, scored = consolidate(extracted, now, default_region)
-    profiles = rules.apply(profile.assemble(scored, confidence.overall(scored)), settings.get("business_rules") or {})
+    profiles = rules.apply(profile.assemble(scored), settings.get("business_rules") or {})
     projected = projection.project(profiles, settings)
     return Run(extracted, normalized, merged, scored, profiles, projected, validation.validate(projected, settings), settings)
 

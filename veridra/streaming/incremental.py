@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import confidence, profile
+from ..operators import profile
 from ..plans.consolidate import consolidate
 
 
@@ -23,7 +23,7 @@ def consolidate_stream(arriving: DataFrame, evidence_path: str, profiles_path: s
         touched = spark.read.parquet(f"{evidence_path}/batch={number}").select("candidate_id").distinct()
         known = spark.read.parquet(evidence_path).filter(f"batch <= {number}").drop("batch")
         _, _, scored = consolidate(known.join(touched, "candidate_id", "left_semi"))
-        profiles = profile.assemble(scored, confidence.overall(scored))
+        profiles = profile.assemble(scored)
         profiles.write.mode("overwrite").parquet(f"{profiles_path}/batch={number}")
 
     return arriving.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
