@@ -215,3 +215,13 @@ def test_embedding_query(spark, sf):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect()]
     found = queries.op10_embedding_dedup(spark, path).collect()
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in found) == brute_embeddings(rows)
+
+
+def test_dropping_by_shuffle_equals_dropping_by_broadcast(spark, monkeypatch):
+    rows = [(k, f"some words about topic {k % 7} and nothing else", "en", "a", 0) for k in range(40)]
+    one = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, rows)).collect())
+    monkeypatch.setattr(simhash, "MAX_BROADCAST_IDS", 0)
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()) == one
+    # one id with two texts stays if either does
+    twice = docs(spark, [(1, "a b c d", "en", "a", 0), (2, "a b c d", "en", "a", 0), (2, "quite other words here", "en", "a", 0)])
+    assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(twice).collect()) == [1, 2]

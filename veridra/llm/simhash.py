@@ -269,11 +269,25 @@ def hex_of(fingerprint: Column) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
+#: ids to drop that are broadcast at most, 8 bytes each; more are joined by shuffle
+MAX_BROADCAST_IDS = 1_000_000
+
+
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` per component: that of the smallest id (any one, if ids repeat)."""
+    """One row of ``docs`` per component: that of the smallest id (any one, if rows repeat).
+
+    The ids that go are fewer than those that stay, and up to a bound the texts
+    need not be shuffled to lose them. Where ids repeat, rows are told apart by
+    their fingerprints and joined with all that stay.
+    """
     found = checkpointed(components(docs, doc_id, text))
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("kept_id"))
-    kept = kept.agg(F.count("*").alias("n"))
-    repeated = not kept.filter("n > 1").isEmpty()
-    rows = docs.join(kept.select("kept_id"), F.col(doc_id).eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.dropDuplicates([doc_id]) if repeated else rows
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = checkpointed(found.filter(~stays).select(F.col("doc_id").alias("gone_id")))
+    if found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        hint = F.broadcast if gone.count() <= MAX_BROADCAST_IDS else (lambda table: table)
+        return docs.join(hint(gone), F.col(doc_id).eqNullSafe(F.col("gone_id")), "left_anti")
+    marks = ("veridra_id", "veridra_fp", "veridra_component")
+    kept = found.filter(stays).select(*(F.col(c).alias(m) for c, m in zip(("doc_id", "fp", "component_id"), marks))).distinct()
+    marked = docs.withColumn("veridra_mark", fingerprint(F.col(text)))
+    same = F.col(doc_id).eqNullSafe(F.col("veridra_id")) & (F.col("veridra_mark") == F.col("veridra_fp"))
+    return marked.join(kept, same).dropDuplicates(["veridra_component"]).select(*(F.col(f"`{c}`") for c in docs.columns))
