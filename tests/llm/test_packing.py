@@ -86,6 +86,11 @@ def test_awkward_rows(spark, library):
     total = sum(len(library.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in AWKWARD)
     assert sum(p["length"] for p in pieces) == total
     assert any(p["doc_id"] is None for p in pieces)
+    both = ("doc_id", "start", "length", "sequence_id", "offset")
+    at_once = packing.pack_texts(docs(spark), PATH).select(*both).collect()
+    assert sorted(map(str, at_once)) == sorted(str(r) for r in packing.pack(rows).select(*both).collect())
+    assert packing.pack_texts(empty(spark), PATH).count() == 0
+    assert packing.pack_texts(docs(spark), PATH, end_id=None).filter("doc_id = 2").count() == 0
     assert packing.pack(empty(spark).drop("ids").withColumn("ids", packing.tokenize(F.col("text"), PATH))).count() == 0
 
 

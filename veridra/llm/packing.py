@@ -125,6 +125,31 @@ class HarmonicPacker:
         return placed
 
 
+def _packed(rows: Iterator[tuple[int | None, bytes]], packer: HarmonicPacker) -> Iterator[pa.RecordBatch]:
+    """``PIECES`` batches from (doc_id, ids as little-endian int32 bytes)."""
+    from pyspark import TaskContext
+
+    base = TaskContext.get().partitionId() << 40
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "token_ids"]
+
+    def batch(placed: list) -> pa.RecordBatch:
+        columns = list(zip(*placed))
+        columns[4] = [base + s for s in columns[4]]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:7]), pa.array(columns[7], pa.binary())], names)
+
+    placed: list = []
+    for key, ids in rows:
+        placed += packer.add(key, ids)
+        if len(placed) > 20_000:
+            yield batch(placed)
+            placed = []
+    placed += packer.finish()
+    if placed:
+        yield batch(placed)
+    del placed
+    release_memory()
+
+
 def pack(
     docs: DataFrame, ids: str = "ids", doc_id: str = "doc_id", capacity: int = CAPACITY, classes: int = CLASSES, slack: int = SLACK
 ) -> DataFrame:
@@ -136,42 +161,46 @@ def pack(
     ids have no pieces.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        packer = HarmonicPacker(capacity, classes, slack)
-        base = TaskContext.get().partitionId() << 40
-
-        def rows(placed: list) -> pa.RecordBatch:
-            columns = list(zip(*placed))
-            columns[4] = [base + s for s in columns[4]]
-            order = (0, 1, 2, 3, 4, 5, 6)
-            return pa.RecordBatch.from_arrays(
-                [*(pa.array(columns[i], pa.int64()) for i in order), pa.array(columns[7], pa.binary())],
-                ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "sequence_tokens", "token_ids"],
-            )
-
-        placed: list = []
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
         for batch in batches:
             lists = batch.column(1)
             flat = np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<i4")
             ends = lists.offsets.to_numpy()
-            for i, key in enumerate(batch.column(0).to_pylist()):
-                if ends[i] == ends[i + 1]:
-                    continue
-                placed += packer.add(key, flat[ends[i] : ends[i + 1]].tobytes())
-                if len(placed) > 20_000:
-                    yield rows(placed)
-                    placed = []
-        placed += packer.finish()
-        if placed:
-            yield rows(placed)
-        del placed, packer
-        release_memory()
+            for i, key in enumerate(batch.column(0)):
+                if ends[i] < ends[i + 1]:
+                    yield key.as_py(), flat[ends[i] : ends[i + 1]].tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed(rows(batches), HarmonicPacker(capacity, classes, slack))
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, PIECES)
 
 
+def pack_texts(
+    docs: DataFrame,
+    tokenizer_path: str,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    end_id: int | None = 0,
+    capacity: int = CAPACITY,
+    classes: int = CLASSES,
+    slack: int = SLACK,
+) -> DataFrame:
+    """``pack`` of the texts' ids (``tokenize``), one worker doing both."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
+        ids, tail = _tokenizer(tokenizer_path).ids, _end(end_id)
+        for batch in batches:
+            for key, value in zip(*batch.columns):
+                if coded := ids(value.as_py()) + tail:
+                    yield key.as_py(), coded
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed(rows(batches), HarmonicPacker(capacity, classes, slack))
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
+
+
 class VocabularyTokenizer:
     """Ids of texts by a ``tokenizers`` file.
 
@@ -239,15 +268,22 @@ def _as_ranks(spec: dict) -> tiktoken.Encoding | None:
 _TOKENIZERS: dict[str, VocabularyTokenizer] = {}
 
 
+def _tokenizer(path: str) -> VocabularyTokenizer:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = VocabularyTokenizer(path)
+    return _TOKENIZERS[path]
+
+
+def _end(end_id: int | None) -> bytes:
+    return b"" if end_id is None else int(end_id).to_bytes(4, "little", signed=True)
+
+
 def tokenize(text: Column, tokenizer_path: str, end_id: int | None = 0) -> Column:
     """``array<int>``: ids of the whole text, then ``end_id`` if there is one."""
 
     @F.arrow_udf("array<int>")
     def vocabulary_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if tokenizer_path not in _TOKENIZERS:
-            _TOKENIZERS[tokenizer_path] = VocabularyTokenizer(tokenizer_path)
-        ids = _TOKENIZERS[tokenizer_path].ids
-        tail = b"" if end_id is None else int(end_id).to_bytes(4, "little", signed=True)
+        ids, tail = _tokenizer(tokenizer_path).ids, _end(end_id)
         for texts in batches:
             yield id_lists([ids(x.as_py()) + tail for x in texts])
         release_memory()

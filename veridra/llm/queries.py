@@ -32,8 +32,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokenise and pack every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = packing.tokenize(F.col("text"), public_tokenizers.path(PACK_VOCABULARY))
-    pieces = packing.pack(docs.select("doc_id", ids.alias("ids")))
+    pieces = packing.pack_texts(docs, public_tokenizers.path(PACK_VOCABULARY))
     return pieces.select(
         "doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens"
     )
