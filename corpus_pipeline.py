@@ -54,8 +54,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences: one row per piece."""
     ship(spark)
-    ids = packing.tokenize(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"))
-    return packing.pack(docs.select("doc_id", ids.alias("ids")))
+    return packing.pack_texts(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
