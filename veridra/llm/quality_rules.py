@@ -38,10 +38,10 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_GROUP, SUPPORT, STEPS, MAX_BROADCAST_GROUPS = 50, 0.75, 3, 10_000
 #: squared distance beyond which a text is an outlier
-CUTOFF = 100.0
-#: added to each variance: statistics that hardly vary in a group stay usable
+CUTOFF = 42.0
+#: standard deviations whose squares are added to the variances: what hardly varies in a group stays usable
 #: (word length, symbols, repeats, repeated lines, capitals, punctuation)
-FLOORS = (0.05, 0.06, 0.08, 0.25, 0.08, 0.06)
+FLOORS = (0.05, 0.045, 0.14, 0.3, 0.08, 0.05)
 DIMENSIONS = len(FLOORS)
 #: bins for each unit of a statistic, and for each doubling of a distance
 VALUE_BINS, DISTANCE_BINS = 256, 32
