@@ -400,3 +400,14 @@ def test_later_resume_counts(spark, sources):
     found = consolidate.gather(spark, consolidate.Sources(csv=sources.csv, resumes=resumes))
     headlines = found.filter("field = 'headline' AND profile_ord = 0").collect()
     assert [r["raw"]["text"] for r in headlines] == ["Second"]
+
+
+def test_skills_found_in_one_search_equal_a_search_for_each(spark):
+    import re
+
+    texts = ["python c++ c", "C++x", "java javascript", "machine learning, deep learning", "multi-agent agentic ai", "c# rest-api", "", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    found = [r[0] for r in rows.select(resume_text.find_skills(F.col("t"))).collect()]
+    for text, skills in zip(texts, found):
+        wanted = None if text is None else [k for k in resume_text.SKILLS if re.search(rf"\b{re.escape(k)}\b", text.lower())]
+        assert skills == wanted

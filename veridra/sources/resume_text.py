@@ -142,10 +142,21 @@ def lines_of(text: Column) -> Column:
 
 
 def find_skills(text: Column, skills: tuple[str, ...] = SKILLS) -> Column:
-    """Those of ``skills`` that stand in a text as whole words, in their order."""
-    lowered = F.lower(text)
-    found = [F.when(lowered.rlike(rf"\b{_escaped(s)}\b"), F.lit(s)) for s in skills]
-    return F.array_compact(F.array(*found))
+    """Those of ``skills`` that stand in a text as whole words, in their order.
+
+    The text is searched once: at every word the longest skill that begins there is
+    taken, and with it the skills that are whole words at its start.
+    """
+    pattern = rf"\b(?=({'|'.join(_escaped(s) for s in sorted(skills, key=len, reverse=True))})\b)"
+    taken = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)))
+    begins = {s: [t for t in skills if re.match(rf"{re.escape(s)}\b", t)] for s in skills}
+    meant = [F.struct(F.lit(s).alias("skill"), F.array(*map(F.lit, sorted({s, *begins[s]}))).alias("shown_by")) for s in skills]
+
+    def hits(words: Column) -> Column:
+        return F.transform(F.filter(F.array(*meant), lambda m: F.arrays_overlap(m["shown_by"], words)), lambda m: m["skill"])
+
+    # an array of one binds the words, so that the text is not searched again for every skill
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(taken), hits), F.lit(0)))
 
 
 def _escaped(word: str) -> str:
@@ -224,7 +235,8 @@ def find_links(text: Column) -> Column:
 def find_place(text: Column) -> Column:
     city, region = strip(F.regexp_extract(text, PLACE, 1)), strip(F.regexp_extract(text, PLACE, 2))
     place = F.struct(city.alias("city"), region.alias("region"), F.lit(None).cast("string").alias("country")).cast(LOCATION)
-    return F.when(text.rlike(PLACE), place)
+    # the short pattern is cheap and rules most texts out
+    return F.when(text.rlike(r"-\s*\d{6}"), F.when(text.rlike(PLACE), place))
 
 
 def headline_of(header: Column) -> Column:
