@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridra.llm import langid, packing, quality_model, simhash, substring_dedup
+from veridra.llm import langid, near_copies, packing, quality_model, substring_dedup
 from veridra.llm.common import fold, shared_folder, ship, table
 
 
@@ -36,9 +36,12 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id."""
+    """One document of each group of near-duplicates, that of the smallest id.
+
+    Texts whose five-word shingles have a Jaccard similarity of 0.8 or more are near-duplicates.
+    """
     ship(spark)
-    return simhash.drop_near_duplicates(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ are equal documents; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -274,13 +274,18 @@ MAX_BROADCAST_IDS = 1_000_000
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of ``docs`` per component: that of the smallest id (any one, if rows repeat).
+    """One row of ``docs`` per component: that of the smallest id (any one, if rows repeat)."""
+    return drop_components(docs, components(docs, doc_id, text), fingerprint, doc_id, text)
+
+
+def drop_components(docs: DataFrame, found: DataFrame, mark: Callable[[Column], Column], doc_id: str, text: str) -> DataFrame:
+    """One row of ``docs`` per component in ``found``, whose ``fp`` is ``mark`` of the text.
 
     The ids that go are fewer than those that stay, and up to a bound the texts
     need not be shuffled to lose them. Where ids repeat, rows are told apart by
     their fingerprints and joined with all that stay.
     """
-    found = checkpointed(components(docs, doc_id, text))
+    found = checkpointed(found)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     gone = checkpointed(found.filter(~stays).select(F.col("doc_id").alias("gone_id")))
     if found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
@@ -288,6 +293,6 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
         return docs.join(hint(gone), F.col(doc_id).eqNullSafe(F.col("gone_id")), "left_anti")
     marks = ("veridra_id", "veridra_fp", "veridra_component")
     kept = found.filter(stays).select(*(F.col(c).alias(m) for c, m in zip(("doc_id", "fp", "component_id"), marks))).distinct()
-    marked = docs.withColumn("veridra_mark", fingerprint(F.col(text)))
+    marked = docs.withColumn("veridra_mark", mark(F.col(text)))
     same = F.col(doc_id).eqNullSafe(F.col("veridra_id")) & (F.col("veridra_mark") == F.col("veridra_fp"))
     return marked.join(kept, same).dropDuplicates(["veridra_component"]).select(*(F.col(f"`{c}`") for c in docs.columns))
