@@ -3,9 +3,12 @@
 Base statistics are counted per text. Texts that pass the base rule get a vector
 of transformed rates, and each language and source gets a minimum-covariance-
 determinant estimate of it: starting from medians and interquartile ranges, a
-concentration step re-estimates mean and covariance from the half (``SUPPORT``) of
-the group that lies closest, and is repeated ``STEPS`` times. A text is rejected
-when its Mahalanobis distance from its group exceeds ``CUTOFF``.
+concentration step re-estimates mean and covariance from the half (``SUPPORT``, of n
+rows (n + d + 1) / 2) of the group that lies closest, and is repeated until no group's
+half changes (``STEPS`` times at least, ``MAX_STEPS`` at most). A factor makes the
+covariance of the half consistent for normal rows; a last step re-estimates from the
+rows within the ``REWEIGHT`` quantile of chi-square. A text is rejected when its
+Mahalanobis distance from its group exceeds ``CUTOFF``.
 
 All texts take part in every estimate. Medians and distance quantiles come from
 histograms of fixed bins, and moments from sums, so a group of any size is counted
@@ -22,7 +25,8 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +40,7 @@ from .common import WORD_SEPARATORS, checkpointed
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-MIN_GROUP, SUPPORT, STEPS, MAX_BROADCAST_GROUPS = 50, 0.75, 3, 10_000
+MIN_GROUP, SUPPORT, STEPS, MAX_STEPS, REWEIGHT, MAX_BROADCAST_GROUPS = 50, 0.5, 3, 50, 0.975, 10_000
 #: squared distance beyond which a text is an outlier
 CUTOFF = 42.0
 #: standard deviations whose squares are added to the variances: what hardly varies in a group stays usable
@@ -50,6 +54,24 @@ _UPPER = bytes(range(65, 91))
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 
 
+def chi_square(x: float, freedom: int) -> float:
+    """The distribution function, for an even number of degrees of freedom."""
+    return 1.0 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(freedom // 2))
+
+
+def chi_square_quantile(share: float, freedom: int = DIMENSIONS) -> float:
+    low, high = 0.0, 200.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, freedom) < share else (low, middle)
+    return high
+
+
+def consistency(share: float) -> float:
+    """What the covariance of the nearest ``share`` of normal rows is short of."""
+    return share / chi_square(chi_square_quantile(share), DIMENSIONS + 2) if share < 1 else 1.0
+
+
 def repeated_words(words: list[bytes], window: int = 3) -> int:
     """Words covered by windows whose words occur as a window twice or more."""
     n = len(words) - window + 1
@@ -136,13 +158,14 @@ def _precision(variances: list[np.ndarray]) -> list[list[float]]:
     return [np.linalg.inv(v + floor).ravel().tolist() for v in variances]
 
 
-def _quantile_bins(counts: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
-    """Per ``keys``, the bin at which the running count reaches each quantile."""
+def _quantile_bins(counts: DataFrame, keys: list[str], quantiles: dict[str, float], more: float = 0.0) -> DataFrame:
+    """Per ``keys``, the bin at which the running count reaches each quantile and ``more`` rows, and the ``total``."""
     run = Window.partitionBy(*keys).orderBy("bin")
     whole = Window.partitionBy(*keys)
     ranked = counts.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(whole))
     return ranked.groupBy(*keys).agg(
-        *(F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin"))).alias(name) for name, q in quantiles.items())
+        *(F.min(F.when(F.col("upto") >= F.least(F.col("all") * q + F.lit(more), F.col("all")), F.col("bin"))).alias(name) for name, q in quantiles.items()),
+        F.max("all").alias("total"),
     )
 
 
@@ -165,32 +188,34 @@ def _start(rows: DataFrame) -> DataFrame:
     return by_group.select("grp", centre.alias("centre"), inverse_of(widths).alias("precision"))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """grp, centre, precision from the rows' sums."""
+def _moments(rows: DataFrame, share: float | None = None) -> DataFrame:
+    """grp, n, centre, precision from the rows' sums; they are the nearest ``share`` of the group, or of ``total`` rows."""
     pairs = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
     sums = rows.groupBy("grp").agg(
         F.count("*").alias("n"),
+        (F.count("*") / F.max("total") if share is None else F.lit(share)).alias("share"),
         *(F.sum(x).alias(f"s{i}") for i, x in enumerate(VECTOR)),
         *(F.sum(F.col(VECTOR[i]) * F.col(VECTOR[j])).alias(f"s{i}_{j}") for i, j in pairs),
     )
 
     @F.pandas_udf("array<double>")
-    def inverse_of(n: pd.Series, firsts: pd.Series, seconds: pd.Series) -> pd.Series:
+    def inverse_of(n: pd.Series, shares: pd.Series, firsts: pd.Series, seconds: pd.Series) -> pd.Series:
         variances = []
-        for count, first, second in zip(n, firsts, seconds):
+        for count, part, first, second in zip(n, shares, firsts, seconds):
             mean = np.asarray(first) / count
             moment = np.zeros((DIMENSIONS, DIMENSIONS))
             for (i, j), s in zip(pairs, second):
                 moment[i, j] = moment[j, i] = s / count
-            variances.append(moment - np.outer(mean, mean))
+            variances.append(consistency(part) * (moment - np.outer(mean, mean)))
         return pd.Series(_precision(variances))
 
     firsts = F.array(*(F.col(f"s{i}") for i in range(DIMENSIONS)))
     seconds = F.array(*(F.col(f"s{i}_{j}") for i, j in pairs))
     return sums.select(
         "grp",
+        "n",
         F.transform(firsts, lambda s: s / F.col("n")).alias("centre"),
-        inverse_of("n", firsts, seconds).alias("precision"),
+        inverse_of("n", "share", firsts, seconds).alias("precision"),
     )
 
 
@@ -214,6 +239,25 @@ def _group_keys(rows: DataFrame, by: tuple[str, str]) -> tuple[DataFrame, int]:
     return keyed, levels.count()
 
 
+def robust_estimate(rows: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """grp, n, centre, precision of the groups in ``rows``; ``small`` hints at the join with group estimates."""
+    estimate, seen = checkpointed(_start(rows)), set()
+    for step in range(MAX_STEPS):
+        placed = rows.join(small(estimate.drop("n")), "grp").withColumn("bin", _distance_bin(_squared_distance()))
+        counts = placed.groupBy("grp", "bin").agg(F.count("*").alias("n"))
+        nearest = checkpointed(_quantile_bins(counts, ["grp"], {"upper": SUPPORT}, (DIMENSIONS + 1) / 2))
+        inner = placed.join(small(nearest), "grp").filter(F.col("bin") <= F.col("upper"))
+        estimate = checkpointed(_moments(inner))
+        if step + 1 >= STEPS:
+            centres = F.transform("centre", lambda x: F.round(x, 9))
+            state = estimate.agg(F.sum(F.xxhash64("grp", "n", centres).cast("decimal(38,0)"))).first()[0]
+            if state in seen:
+                break
+            seen.add(state)
+    placed = rows.join(small(estimate.drop("n")), "grp").filter(_squared_distance() <= chi_square_quantile(REWEIGHT))
+    return checkpointed(_moments(placed, REWEIGHT))
+
+
 def judge(measured: DataFrame, by: tuple[str, str] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
     """``measured`` with squared ``distance`` (null: no verdict) and ``kept``."""
     measured = checkpointed(measured)
@@ -226,13 +270,7 @@ def judge(measured: DataFrame, by: tuple[str, str] = ("lang", "source"), cutoff:
         return rows.join(small(keys), same, "left").drop("g_lang", "g_source")
 
     rows = grouped(eligible).filter("grp IS NOT NULL").select("grp", *VECTOR)
-    estimate = checkpointed(_start(rows))
-    for _ in range(STEPS):
-        placed = rows.join(small(estimate), "grp").withColumn("bin", _distance_bin(_squared_distance()))
-        counts = placed.groupBy("grp", "bin").agg(F.count("*").alias("n"))
-        nearest = checkpointed(_quantile_bins(counts, ["grp"], {"upper": SUPPORT}))
-        inner = placed.join(small(nearest), "grp").filter(F.col("bin") <= F.col("upper"))
-        estimate = checkpointed(_moments(inner))
+    estimate = robust_estimate(rows, small).drop("n")
     scored = grouped(measured).join(small(estimate), "grp", "left")
     distance = F.when(~F.col("base_failed"), _squared_distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))
