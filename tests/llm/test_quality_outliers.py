@@ -41,3 +41,26 @@ def test_chi_square():
     assert rules.chi_square_quantile(0.975) == pytest.approx(14.4494, abs=1e-3)
     assert rules.chi_square_quantile(0.999) == pytest.approx(22.4577, abs=1e-3)
     assert rules.consistency(1.0) == 1 and rules.consistency(0.5) > 1.5
+
+
+def test_repetitive_texts_below_the_base_limit_go(spark):
+    """In a group where nobody repeats: half the words, half the lines, and both; a tenth stays."""
+
+    def text(i, lines=40, repeated_lines=0, repeated_words=0):
+        made = [f"w{i}a{k} w{k}b w{i}c{k % 7}x{k} w{k}d" for k in range(lines)]
+        made[:repeated_words] = [f"same old words w{i}e{k} again and again w{i}f{k}" for k in range(repeated_words)]
+        made[lines - repeated_lines :] = [made[lines - repeated_lines - 1]] * repeated_lines
+        return "\n".join(made)
+
+    odd = {900: text(900, repeated_lines=19), 901: text(901, repeated_words=18), 902: text(902, repeated_lines=10, repeated_words=6)}
+    fine = {800: text(800, repeated_lines=4)}
+    rows = [(i, text(i), "en", "a", 0) for i in range(120)] + [(k, t, "en", "a", 0) for k, t in (odd | fine).items()]
+    found = {r["doc_id"]: r for r in rules.judge(rules.measure(docs(spark, rows, extra=False))).collect()}
+    assert all(found[i]["kept"] for i in (*range(120), *fine))
+    assert not any(found[k]["base_failed"] for k in odd), [found[k] for k in odd]
+    assert not any(found[k]["kept"] for k in odd), [found[k] for k in odd]
+
+
+def test_half_of_either_rate_is_beyond_the_cutoff():
+    half = np.arcsin(np.sqrt(0.5))
+    assert all((half / rules.FLOORS[i]) ** 2 > rules.CUTOFF for i in (2, 3))

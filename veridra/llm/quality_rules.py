@@ -5,7 +5,7 @@ of transformed rates, and each language and source gets a minimum-covariance-
 determinant estimate of it: starting from medians and interquartile ranges, a
 concentration step re-estimates mean and covariance from the half (``SUPPORT``, of n
 rows (n + d + 1) / 2) of the group that lies closest, and is repeated until no group's
-half changes (``STEPS`` times at least, ``MAX_STEPS`` at most). A factor makes the
+centre moves by more than ``SETTLED`` (``STEPS`` times at least, ``MAX_STEPS`` at most). A factor makes the
 covariance of the half consistent for normal rows; a last step re-estimates from the
 rows within the ``REWEIGHT`` quantile of chi-square. A text is rejected when its
 Mahalanobis distance from its group exceeds ``CUTOFF``.
@@ -41,11 +41,14 @@ from .common import WORD_SEPARATORS, checkpointed
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MIN_GROUP, SUPPORT, STEPS, MAX_STEPS, REWEIGHT, MAX_BROADCAST_GROUPS = 50, 0.5, 3, 50, 0.975, 10_000
-#: squared distance beyond which a text is an outlier
-CUTOFF = 42.0
+#: a fiftieth of the least of ``FLOORS``
+SETTLED = 0.0009
+#: squared distance beyond which a text is an outlier: the 0.999 quantile of chi-square with 6 degrees of freedom
+CUTOFF = 22.4577
 #: standard deviations whose squares are added to the variances: what hardly varies in a group stays usable
-#: (word length, symbols, repeats, repeated lines, capitals, punctuation)
-FLOORS = (0.05, 0.045, 0.14, 0.3, 0.08, 0.05)
+#: (word length, symbols, repeats, repeated lines, capitals, punctuation). In a group where nobody repeats, those of
+#: repeats and repeated lines let a text through up to 40 % of either alone: asin(sqrt(0.4)) / sqrt(CUTOFF).
+FLOORS = (0.05, 0.045, 0.1445, 0.1445, 0.08, 0.05)
 DIMENSIONS = len(FLOORS)
 #: bins for each unit of a statistic, and for each doubling of a distance
 VALUE_BINS, DISTANCE_BINS = 256, 32
@@ -241,19 +244,18 @@ def _group_keys(rows: DataFrame, by: tuple[str, str]) -> tuple[DataFrame, int]:
 
 def robust_estimate(rows: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """grp, n, centre, precision of the groups in ``rows``; ``small`` hints at the join with group estimates."""
-    estimate, seen = checkpointed(_start(rows)), set()
+    estimate = checkpointed(_start(rows))
     for step in range(MAX_STEPS):
         placed = rows.join(small(estimate.drop("n")), "grp").withColumn("bin", _distance_bin(_squared_distance()))
         counts = placed.groupBy("grp", "bin").agg(F.count("*").alias("n"))
         nearest = checkpointed(_quantile_bins(counts, ["grp"], {"upper": SUPPORT}, (DIMENSIONS + 1) / 2))
         inner = placed.join(small(nearest), "grp").filter(F.col("bin") <= F.col("upper"))
-        estimate = checkpointed(_moments(inner))
+        before, estimate = estimate, checkpointed(_moments(inner))
         if step + 1 >= STEPS:
-            centres = F.transform("centre", lambda x: F.round(x, 9))
-            state = estimate.agg(F.sum(F.xxhash64("grp", "n", centres).cast("decimal(38,0)"))).first()[0]
-            if state in seen:
+            moves = F.zip_with("centre", "old", lambda x, y: F.abs(x - y))
+            both = estimate.join(small(before.select("grp", F.col("centre").alias("old"))), "grp")
+            if (both.agg(F.max(F.array_max(moves))).first()[0] or 0.0) <= SETTLED:
                 break
-            seen.add(state)
     placed = rows.join(small(estimate.drop("n")), "grp").filter(_squared_distance() <= chi_square_quantile(REWEIGHT))
     return checkpointed(_moments(placed, REWEIGHT))
 
