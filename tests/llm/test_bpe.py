@@ -51,6 +51,16 @@ def test_cache_is_bounded(library, encoder, monkeypatch):
         assert ids(encoder, text) == library.encode_ordinary(text)
 
 
+def test_cache_keeps_what_comes_back(encoder, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 4)
+    small = bpe.TextEncoder(encoder.bpe, public_tokenizers.PATTERN)
+    asked = []
+    monkeypatch.setattr(small.bpe, "encode_pieces", lambda pieces, real=small.bpe.encode_pieces: asked.extend(pieces) or real(pieces))
+    for i in range(20):
+        small.encode([f"often seen{i} once{i}"])
+    assert asked.count(b"often") == 1 and len(small.known) + len(small.older) < 30
+
+
 def test_unknown_ids_fail(encoder):
     with pytest.raises(ValueError):
         encoder.bpe.decode(np.array([50_256]))
@@ -76,6 +86,10 @@ def test_columns_of_awkward_rows(spark, library):
     for row in found:
         assert row["coded"] == library.encode_ordinary(row["text"] or "")
         assert bytes(row["back"]) == (row["text"] or "").encode()
+    both = rows.select("text", bpe.round_trip(F.col("text"), PATH, public_tokenizers.PATTERN).alias("r")).collect()
+    assert sorted((str(r["text"]), r["r"]["ids"], bytes(r["r"]["decoded"])) for r in both) == sorted(
+        (str(r["text"]), r["coded"], bytes(r["back"])) for r in found
+    )
     assert empty(spark).select(bpe.encode(F.col("text"), PATH, public_tokenizers.PATTERN)).count() == 0
     null = spark.createDataFrame([(None,)], "ids array<int>").select(bpe.decode(F.col("ids"), PATH)).first()
     assert bytes(null[0]) == b""

@@ -17,6 +17,7 @@ piece of any length costs O(n log n).
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .splitting import Splitter
 
-#: encoded pieces that a Python worker remembers before it starts afresh
-CACHE_PIECES = 400_000
+#: encoded pieces that a Python worker remembers: those since the last turn, and as many of the turn before
+CACHE_PIECES = 200_000
 #: longer pieces are not remembered
 CACHE_PIECE_CHARS = 64
 #: characters of text that a worker splits before it encodes their new pieces
@@ -188,10 +189,16 @@ class ByteBPE:
 
 
 class TextEncoder:
-    """Splits texts by a pattern and encodes the pieces, remembering frequent ones."""
+    """Splits texts by a pattern and encodes the pieces, remembering frequent ones.
+
+    When ``known`` is full it becomes ``older`` and a new one begins; a piece that is
+    met again moves over, so what is met at least once a turn is never forgotten.
+    """
 
     def __init__(self, bpe: ByteBPE, pattern: str):
-        self.bpe, self.split, self.known = bpe, Splitter(pattern), {}
+        self.bpe, self.split = bpe, Splitter(pattern)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian int32 ids of each text."""
@@ -206,9 +213,12 @@ class TextEncoder:
 
     def _chunk(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_PIECES:
-            self.known = {}
+            self.older, self.known = self.known, {}
         split = [self.split(text) for text in texts]
-        new = list(set().union(*split).difference(self.known)) if split else []
+        missing = set().union(*split).difference(self.known)
+        again = self.older.keys() & missing
+        self.known.update((piece, self.older[piece]) for piece in again)
+        new = list(missing - again)
         found = dict(zip(new, self.bpe.encode_pieces([piece.encode() for piece in new])))
         ids_of = self.known
         long = {p: x for p, x in found.items() if len(p) > CACHE_PIECE_CHARS}
@@ -235,19 +245,29 @@ def id_lists(encoded: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
 
 
+def _encoded(texts: pa.Array, ranks_path: str, pattern: str) -> Iterator[list[bytes]]:
+    """The ids of each text, a part of the batch at a time: long texts are not all decoded at once."""
+    key = (ranks_path, pattern)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = TextEncoder(_bpe(ranks_path), pattern)
+    for start in range(0, len(texts), PART_ROWS):
+        yield _ENCODERS[key].encode(texts.slice(start, PART_ROWS).to_pylist())
+
+
+def _decoded(bpe: ByteBPE, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """The bytes of consecutive lists of ``sizes`` ids."""
+    text, token_ends = bpe.decode(ids)
+    cuts = np.concatenate([[0], token_ends])[np.concatenate([[0], np.cumsum(sizes)])]
+    raw, cuts = text.tobytes(), cuts.tolist()
+    return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
 def encode(text: Column, ranks_path: str, pattern: str) -> Column:
     """``array<int>``: ids of the whole text, each match of ``pattern`` encoded separately."""
 
     @F.arrow_udf("array<int>")
     def byte_bpe_encode(texts: pa.Array) -> pa.Array:
-        key = (ranks_path, pattern)
-        if key not in _ENCODERS:
-            _ENCODERS[key] = TextEncoder(_bpe(ranks_path), pattern)
-        # a part of the batch at a time: long texts are not all decoded at once
-        encoded = []
-        for start in range(0, len(texts), PART_ROWS):
-            encoded += _ENCODERS[key].encode(texts.slice(start, PART_ROWS).to_pylist())
-        return id_lists(encoded)
+        return id_lists([ids for part in _encoded(texts, ranks_path, pattern) for ids in part])
 
     return byte_bpe_encode(text)
 
@@ -257,16 +277,29 @@ def decode(ids: Column, ranks_path: str) -> Column:
 
     @F.arrow_udf("binary")
     def byte_bpe_decode(lists: pa.Array) -> pa.Array:
-        bpe = _bpe(ranks_path)
         decoded = []
         for start in range(0, len(lists), PART_ROWS):
             part = lists.slice(start, PART_ROWS)
-            flat = part.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False))
-            text, token_ends = bpe.decode(flat)
-            cuts = np.concatenate([[0], token_ends])[np.concatenate([[0], ends])]
-            raw, cuts = text.tobytes(), cuts.tolist()
-            decoded += [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+            sizes = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+            decoded += _decoded(_bpe(ranks_path), part.flatten().to_numpy(zero_copy_only=False), sizes)
         return pa.array(decoded, pa.binary())
 
     return byte_bpe_decode(ids)
+
+
+def round_trip(text: Column, ranks_path: str, pattern: str) -> Column:
+    """``struct<ids array<int>, decoded binary>``: ``encode``, and ``decode`` of its ids.
+
+    A plan that uses the ids beside what they decode to would encode twice, because
+    Spark runs each chain of Python functions by itself.
+    """
+
+    @F.arrow_udf("struct<ids array<int>, decoded binary>")
+    def byte_bpe_round_trip(texts: pa.Array) -> pa.Array:
+        ids, decoded = [], []
+        for part in _encoded(texts, ranks_path, pattern):
+            ids += part
+            decoded += _decoded(_bpe(ranks_path), np.frombuffer(b"".join(part), "<i4"), np.array([len(x) // 4 for x in part]))
+        return pa.StructArray.from_arrays([id_lists(ids), pa.array(decoded, pa.binary())], ["ids", "decoded"])
+
+    return byte_bpe_round_trip(text)

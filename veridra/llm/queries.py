@@ -19,13 +19,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every document, decode the ids, and digest both."""
     ranks = public_tokenizers.path(MULTI_RANKS)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = docs.select("doc_id", bpe.encode(F.col("text"), ranks, public_tokenizers.PATTERN).alias("ids"))
-    back = coded.select("doc_id", "ids", bpe.decode(F.col("ids"), ranks).alias("decoded"))
-    return back.select(
+    coded = docs.select("doc_id", bpe.round_trip(F.col("text"), ranks, public_tokenizers.PATTERN).alias("coded"))
+    return coded.select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.size("coded.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("coded.ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("coded.decoded", 256).alias("decoded_sha256"),
     )
 
 
