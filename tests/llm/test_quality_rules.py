@@ -4,7 +4,6 @@ from collections import Counter
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from veridra.llm import quality_rules as rules
 from veridra.llm import queries
@@ -47,27 +46,21 @@ def test_base_rule_and_verdicts(spark):
     assert rows[900]["distance"] > rules.CUTOFF
 
 
-def test_estimates_resist_a_third_of_outliers(spark):
-    """Against the estimate of a plain implementation on the clean rows."""
-    chooser = np.random.default_rng(3)
-    clean = chooser.normal(0.5, 0.05, (400, rules.DIMENSIONS))
-    bad = chooser.normal(3.0, 0.05, (100, rules.DIMENSIONS))
-    rows = [("g", *map(float, x)) for x in np.concatenate([clean, bad])]
-    frame = spark.createDataFrame(rows, "grp string, " + ", ".join(f"{x} double" for x in rules.VECTOR))
-    estimate = rules._start(frame)
-    for _ in range(rules.STEPS):
-        placed = frame.join(estimate, "grp").withColumn("bin", rules._distance_bin(rules._squared_distance()))
-        nearest = rules._quantile_bins(placed.groupBy("grp", "bin").agg(F.count("*").alias("n")), ["grp"], {"upper": rules.SUPPORT})
-        estimate = rules._moments(placed.join(nearest, "grp").filter("bin <= upper"))
-    centre = np.array(estimate.first()["centre"])
-    assert np.abs(centre - clean.mean(0)).max() < 0.02
-
-
 def test_small_groups_are_pooled(spark):
     prose = [(i, " ".join(f"w{(i * 17 + k * k) % 991}" for k in range(60)), "en", f"s{i}", 0) for i in range(60)]
     lone = [(500, " ".join(f"v{k}" for k in range(60)), "xx", "only", 0)]
     rows = {r["doc_id"]: r for r in rules.judge(rules.measure(docs(spark, prose + lone, extra=False))).collect()}
     assert rows[1]["distance"] is not None and rows[500]["distance"] is None and rows[500]["kept"]
+    assert rows[500]["verdict"] == "unjudged" and {rows[i]["verdict"] for i in range(60)} <= {"inlier", "outlier"}
+
+
+def test_repeats_of_the_vector_count_once_and_do_not_add_up():
+    line = "one line of seven words in all"
+    other = " ".join(f"w{i}" for i in range(60))
+    vector = dict(zip(rules.VECTOR, rules.text_statistics(f"{line}\n{other}\n{line}")[5:]))
+    assert vector["x2"] == 0 and vector["x3"] > 0  # a repeated line is no repeated words as well
+    chance = "a b c " + " ".join(f"v{i}" for i in range(2 * rules.REPEAT_WORDS)) + " a b c"
+    assert rules.text_statistics(chance)[4] == 6 and rules.text_statistics(chance)[7] == 0
 
 
 def test_awkward_rows(spark, monkeypatch):

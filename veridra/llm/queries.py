@@ -54,7 +54,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measure every document and judge it against its language and source."""
     judged = quality_rules.judge(quality_rules.measure(table(spark, sf_dir, "documents")))
-    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "distance")
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "distance", "verdict")
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
