@@ -68,3 +68,48 @@ def test_awkward_rows(spark):
     assert near_copies.drop_near_copies(empty(spark)).count() == 0
     twice = docs(spark, [*edited(2, 2, 2), (0, "quite other words here", "en", "a", 0)])
     assert near_copies.components(twice).filter("component_id = 0").count() >= 1
+
+
+def test_large_groups_of_copies_cost_no_pairs(spark, monkeypatch):
+    """A chain of edits, a star of copies, and groups that stars leave in pieces."""
+    monkeypatch.setattr(near_copies, "STAR_BLOCK", 7)
+    chooser = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(120)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 40):  # each differs from the base in one word
+        copy = list(base)
+        copy[int(chooser.integers(120))] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    drift = [f"d{i}" for i in range(120)]
+    for i in range(40, 70):  # each differs from the one before
+        drift[int(chooser.integers(120))] = f"y{i}"
+        rows.append((i, " ".join(drift)))
+    wanted = brute(rows)
+    for block in (near_copies.BLOCK, 4):
+        found = near_copies.components(docs(spark, [(k, t, "en", "a", 0) for k, t in rows]), block=block).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == wanted
+
+
+def test_linking_confirms_by_the_sets():
+    """Fingerprints within the radius do not link by themselves, and pieces that hang together are not compared."""
+    sets = [np.arange(i * 10, i * 10 + 100, dtype=np.uint64) for i in range(6)]  # neighbours share 90 of 110
+    prints = np.zeros(6, np.uint64)
+    assert near_copies.link_sets(sets, prints).tolist() == [0] * 6
+    assert near_copies.link_sets(sets[::2], prints[::2]).tolist() == [0, 1, 2]
+    assert near_copies.link_sets(sets[::2], prints[::2], np.array([5, 9, 5])).tolist() == [0, 1, 0]
+    far = np.array([0, 2**64 - 1], np.uint64)
+    assert near_copies.link_sets([sets[0], sets[0]], far).tolist() == [0, 1]
+    assert near_copies.link_sets(sets[:4], prints[:4], split=2).tolist() == [0, 1, 1, 3]
+
+
+def test_wide_radius_counts_every_lane():
+    from veridra.llm import simhash
+
+    chooser = np.random.default_rng(2)
+    one = chooser.integers(0, 2**64 - 1, 70, dtype=np.uint64)
+    flips = [np.uint64(sum(1 << int(b) for b in chooser.choice(64, n, replace=False))) for n in range(64)]
+    members = np.concatenate([one, one[0] ^ np.array(flips, np.uint64)])
+    for radius in (0, 1, 2, 3, 6, 7, 24, 31, 32, 63):
+        found = {(int(i), int(j)) for a, b in simhash.compare_blocks(one, members, radius) for i, j in zip(a, b)}
+        apart = np.array([[int(x ^ y).bit_count() for y in members] for x in one])
+        assert found == set(zip(*map(lambda v: v.tolist(), np.nonzero(apart <= radius))))

@@ -63,6 +63,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: bytes of a partition that code of ours holds while it works on it
+PARTITION_BYTES = 32 << 20
+
+
+def width_for(spark: SparkSession, size: int) -> int:
+    """Partitions for ``size`` bytes: as many as the session sets, or more where they would grow large."""
+    return max(shuffle_width(spark), -(-size // PARTITION_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

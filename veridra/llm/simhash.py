@@ -59,9 +59,8 @@ def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     )
 
 
-def fingerprint_of(text: str | None) -> int:
-    """The fingerprint as a signed 64-bit number."""
-    hashes = shingle_hashes(text)
+def majority_bits(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes, as a signed 64-bit number."""
     if not hashes.size:
         return 0
     counts = np.zeros(64, np.int64)
@@ -71,6 +70,10 @@ def fingerprint_of(text: str | None) -> int:
     return int(np.packbits(2 * counts > hashes.size, bitorder="little").view("<i8")[0])
 
 
+def fingerprint_of(text: str | None) -> int:
+    return majority_bits(shingle_hashes(text))
+
+
 def fingerprint(text: Column) -> Column:
     """``long``: the 64-bit fingerprint of a whole text."""
 
@@ -91,33 +94,49 @@ def bit_planes(prints: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
-def lanes_within(marks: Iterator[np.ndarray], shape: tuple) -> np.ndarray:
-    """Lanes with at most ``RADIUS`` marks, as words of bits.
+def lanes_within(marks: Iterator[np.ndarray], shape: tuple, radius: int = RADIUS) -> np.ndarray:
+    """Lanes with at most ``radius`` marks, as words of bits.
 
-    Carry-save: three planes of marks enter per step as a sum and a carry.
+    Carry-save: three planes of marks enter per step as a sum and a carry, which ripple
+    through the counter's planes; what leaves the last one is beyond the radius.
     """
-    ones, twos, over = np.zeros(shape, np.uint64), np.zeros(shape, np.uint64), np.zeros(shape, np.uint64)
+    size = radius.bit_length()
+    planes = [np.zeros(shape, np.uint64) for _ in range(size)]
+    over = np.zeros(shape, np.uint64)
+
+    def add(x: np.ndarray, weight: int) -> None:
+        nonlocal over
+        for i in range(weight, size):
+            x, planes[i] = planes[i] & x, planes[i] ^ x
+        over |= x
+
+    def beyond() -> np.ndarray:
+        more, same = over, _ALL
+        if radius + 1 == 1 << size:  # whatever the planes hold is within
+            return more
+        for i in reversed(range(size)):
+            if radius >> i & 1:
+                same = same & planes[i]
+            else:
+                more = more | (same & planes[i])
+                same = same & ~planes[i]
+        return more
+
     marks = iter(marks)
     for step, x in enumerate(marks):
         y, z = next(marks, None), next(marks, None)
         if y is None:
-            total, carry = x, None
+            add(x, 0)
         elif z is None:
-            total, carry = x ^ y, x & y
+            add(x ^ y, 0)
+            add(x & y, 1)
         else:
             half = x ^ y
-            total, carry = half ^ z, (x & y) | (half & z)
-        from_ones = ones & total
-        ones ^= total
-        if carry is None:
-            over |= twos & from_ones
-            twos ^= from_ones
-        else:
-            over |= (twos & from_ones) | (twos & carry) | (from_ones & carry)
-            twos ^= from_ones ^ carry
-        if step % 3 == 2 and (over == _ALL).all():
+            add(half ^ z, 0)
+            add((x & y) | (half & z), 1)
+        if step % 3 == 2 and (beyond() == _ALL).all():
             break
-    return ~over
+    return ~beyond()
 
 
 def _set_lanes(words: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,14 +144,14 @@ def _set_lanes(words: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(bits[:, :lanes])
 
 
-def compare_blocks(queries: np.ndarray, members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def compare_blocks(queries: np.ndarray, members: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(query, member) index pairs within the radius, for parts of the queries."""
     planes = bit_planes(members)
     bits = np.arange(64, dtype=np.uint64)
     for start in range(0, queries.size, 128):
         part = queries[start : start + 128]
         set_bits = np.where((part[None, :] >> bits[:, None]) & np.uint64(1), _ALL, np.uint64(0))
-        near = lanes_within((planes[b][None, :] ^ set_bits[b][:, None] for b in range(64)), (part.size, planes.shape[1]))
+        near = lanes_within((planes[b][None, :] ^ set_bits[b][:, None] for b in range(64)), (part.size, planes.shape[1]), radius)
         some = np.flatnonzero(near.any(1))
         at, lane = _set_lanes(near[some], members.size) if some.size else (np.empty(0, int), np.empty(0, int))
         yield start + some[at], lane
