@@ -1,28 +1,22 @@
-"""Queries that show each operator on the star-schema tables, with equal SQL.
+"""Queries that show the engine's functions on the driver's tables, with equal SQL.
 
-Candidates are customers (evidence: their orders), users or parts, as noted; every
-query runs over its whole tables. Money-like and score arithmetic is decimal so that
-both engines agree to the last digit.
+Those that run its operators on evidence are in ``evidence_queries``; every query runs
+over its whole tables.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import contact, fuzzy, text
 from ..functions.country import full_name, to_alpha2
 from ..operators import cluster, normalize
-from ..schema import value_of
 from ..session import ship
-from ..sources import ats_json, recruiter_csv, resume_text
-from . import projection, validation
-from .consolidate import consolidate
+from ..sources import recruiter_csv, resume_text
+from . import evidence_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,22 +40,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # scans
 
 
-@_query(
-    """
-    SELECT CAST(c_custkey AS VARCHAR) AS candidate_id, o_orderkey AS first_orderkey, o_orderpriority AS first_priority
-    FROM (SELECT o_custkey AS c_custkey, o_orderkey, o_orderpriority,
-                 row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders) WHERE place = 1
-    """
-)
-def csv_point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First row of each key in file order: the smallest order of each customer."""
-    orders = _table(spark, sf_dir, "orders")
-    first = orders.groupBy("o_custkey").agg(F.min_by(F.struct("o_orderkey", "o_orderpriority"), "o_orderkey").alias("f"))
-    return first.select(
-        F.col("o_custkey").cast("string").alias("candidate_id"), F.col("f.o_orderkey").alias("first_orderkey"), F.col("f.o_orderpriority").alias("first_priority")
-    )
-
-
 @_query(
     """
     SELECT s_suppkey, string_split(t, ', ')[1] AS city,
@@ -110,56 +88,21 @@ def json_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("event_id", k.alias("k_text"), k.try_cast("double").alias("k_number"))
 
 
-@_query()
-def ats_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers written as applicant-tracking objects and read back as evidence."""
-    customers = _table(spark, sf_dir, "customer")
-    written = F.to_json(
-        F.struct(
-            F.concat(F.lit("C"), "c_custkey").alias("candidate_id"),
-            F.col("c_name").alias("name"),
-            F.col("c_acctbal").alias("experience_years"),
-            F.split("c_mktsegment", " ").alias("skills"),
-            F.struct(F.col("c_nationkey").cast("string").alias("country")).alias("location"),
-        )
-    )
-    files = customers.select(F.concat(F.lit("ats/"), "c_custkey").alias("ats_path"), written.alias("value"))
-    found = ats_json.evidence(ats_json.for_candidates(ats_json.parse(files)))
-    return found.select("candidate_id", "field", "item_ord", F.to_json("raw").alias("raw"), "source", "base_conf")
-
-
-@_query()
-def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers written as a recruiter CSV and read back as evidence."""
-    customers = _table(spark, sf_dir, "customer")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veridra-")
-    path = f"{shared}/recruiter-{os.urandom(6).hex()}"
-    row = customers.select(
-        F.col("c_custkey").cast("string").alias("candidate_id"),
-        F.col("c_name").alias("full_name"),
-        F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.org")).alias("email"),
-        F.concat_ws("|", F.split("c_mktsegment", " ")).alias("skills"),
-        F.col("c_acctbal").cast("string").alias("experience_years"),
-    )
-    row.write.option("header", True).option("escape", '"').csv(path)
-    found = recruiter_csv.evidence(recruiter_csv.read(spark, path))
-    return found.select("candidate_id", "field", "item_ord", F.to_json("raw").alias("raw"), "method", "base_conf")
-
-
 # scalar functions
 
 
 @_query(
     r"""
-    SELECT c_custkey, regexp_replace(trim(regexp_replace(c_name, '[^a-zA-Z\s.\-]', '', 'g')), '\s+', ' ', 'g') AS cleaned,
-           lower(trim(c_name)) AS folded
-    FROM customer
+    SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') || ' O-Sons Co.' AS name,
+           lower(trim(p_name)) || ' & o-s2ons co.' AS folded FROM part
     """
 )
 def norm_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names without signs and surplus space."""
-    cleaned = text.collapse(F.regexp_replace("c_name", r"[^a-zA-Z\s.\-]", ""))
-    return _table(spark, sf_dir, "customer").select("c_custkey", cleaned.alias("cleaned"), text.fold_key(F.col("c_name")).alias("folded"))
+    """Names without signs, digits and surplus space, in title case; and folded for comparison."""
+    shown = F.concat(F.lit(" "), F.upper("p_name"), F.lit(" & o-s2ons\tco. "))
+    return _table(spark, sf_dir, "part").select(
+        "p_partkey", normalize.normalize_name(shown).alias("name"), F.replace(text.fold_key(shown), F.lit("\t"), F.lit(" ")).alias("folded")
+    )
 
 
 @_query(
@@ -293,343 +236,6 @@ def resume_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# joins
-
-
-@_query(
-    """
-    SELECT n_nationkey, min(s_suppkey) AS first_supplier
-    FROM nation JOIN supplier ON contains(lower(s_name), right('0' || CAST(n_nationkey AS VARCHAR), 2)) GROUP BY n_nationkey
-    """
-)
-def theta_match_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first supplier whose name contains a nation's number."""
-    nations = _table(spark, sf_dir, "nation").select("n_nationkey", F.right(F.concat(F.lit("0"), F.col("n_nationkey").cast("string")), F.lit(2)).alias("needle"))
-    suppliers = _table(spark, sf_dir, "supplier")
-    spots = F.sequence(F.lit(1), F.greatest(F.length("s_name") - 1, F.lit(1)))
-    cut = F.array_distinct(F.transform(spots, lambda i: F.substring(F.lower("s_name"), i, F.lit(2))))
-    pieces = suppliers.select("s_suppkey", F.explode(cut).alias("needle"))
-    return nations.join(pieces, "needle").groupBy("n_nationkey").agg(F.min("s_suppkey").alias("first_supplier"))
-
-
-@_query(
-    """
-    SELECT c_custkey, min(o_orderkey) AS matched_order, count(o_orderkey) AS n_orders
-    FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey
-    """
-)
-def match_first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of a customer's finished orders, aggregated before the join."""
-    done = _table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").groupBy("o_custkey")
-    done = done.agg(F.min("o_orderkey").alias("matched_order"), F.count("*").alias("n"))
-    joined = _table(spark, sf_dir, "customer").join(done, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return joined.select("c_custkey", "matched_order", F.coalesce("n", F.lit(0)).cast("long").alias("n_orders"))
-
-
-@_query(
-    """
-    SELECT c_custkey, coalesce(a, b, c) AS resolved FROM customer
-    LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS a FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey) x ON x.o_custkey = c_custkey
-    LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS b FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) y ON y.o_custkey = c_custkey
-    LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS c FROM orders GROUP BY o_custkey) z ON z.o_custkey = c_custkey
-    """
-)
-def resolve_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first key that the preferred, the second or any source gives."""
-    orders = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
-        F.min(F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderkey"))).alias("a"),
-        F.min(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("b"),
-        F.min("o_orderkey").alias("c"),
-    )
-    joined = _table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return joined.select("c_custkey", F.coalesce("a", "b", "c").alias("resolved"))
-
-
-# votes and scores: candidates are customers, evidence their orders' priorities
-
-_CONF = "CAST(CASE o_orderstatus WHEN 'F' THEN 0.95 WHEN 'O' THEN 0.90 ELSE 0.80 END AS DECIMAL(4,2))"
-_VOTED = f"""
-    WITH e AS (SELECT o_custkey, o_orderkey, o_orderpriority AS v, o_orderstatus AS source, {_CONF} AS conf FROM orders),
-    s AS (SELECT o_custkey, v, sum(conf) AS score, count(*) AS n, max(conf) AS best FROM e GROUP BY o_custkey, v),
-    r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, v DESC) AS place,
-                 sum(n) OVER (PARTITION BY o_custkey) AS total, count(*) OVER (PARTITION BY o_custkey) AS n_values FROM s)
-"""
-
-
-def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conf = F.when(F.col("o_orderstatus") == "F", F.lit("0.95")).when(F.col("o_orderstatus") == "O", F.lit("0.90")).otherwise(F.lit("0.80"))
-    rows = _table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderpriority").alias("v"), "o_orderstatus", conf.cast("decimal(4,2)").alias("conf"))
-    return rows.groupBy("o_custkey", "v").agg(F.sum("conf").alias("score"), F.count("*").alias("n"), F.max("conf").alias("best"))
-
-
-def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = Window.partitionBy("o_custkey")
-    return _votes(spark, sf_dir).select(
-        "*",
-        F.row_number().over(whole.orderBy(F.desc("score"), F.desc("v"))).alias("place"),
-        F.sum("n").over(whole).alias("total"),
-        F.count("*").over(whole).alias("n_values"),
-    )
-
-
-@_query(_VOTED + "SELECT o_custkey, v AS winner, CAST(score AS DOUBLE) AS score, n AS agreement, total - n AS rejected FROM r WHERE place = 1")
-def weighted_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The value with the largest sum of confidence for each customer."""
-    return _ranked(spark, sf_dir).filter("place = 1").select(
-        "o_custkey", F.col("v").alias("winner"), F.col("score").cast("double").alias("score"), F.col("n").alias("agreement"), (F.col("total") - F.col("n")).alias("rejected")
-    )
-
-
-@_query(
-    _VOTED
-    + """
-    SELECT o_custkey, string_agg(CASE WHEN place = 1 THEN v END, '') AS winner,
-           coalesce(string_agg(CASE WHEN place > 1 THEN v || ':' || CAST(n AS VARCHAR) END, ',' ORDER BY place), '') AS rejected
-    FROM r GROUP BY o_custkey
-    """
-)
-def vote_support_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The winner and, in order of rank, what it won against."""
-    rows = _ranked(spark, sf_dir).groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("place", "v", "n"))).alias("r"))
-    lost = F.transform(F.slice("r", F.lit(2), F.size("r")), lambda x: F.concat(x["v"], F.lit(":"), x["n"].cast("string")))
-    return rows.select("o_custkey", F.element_at("r", 1)["v"].alias("winner"), F.array_join(lost, ",").alias("rejected"))
-
-
-_FINAL = (
-    "CAST(greatest(0, least(1, best + CASE WHEN n > 1 THEN least(0.20, 0.05 * (n - 1)) ELSE 0 END"
-    " + CASE WHEN total > n THEN greatest(-0.15, -0.05 * (total - n)) ELSE 0 END)) AS DECIMAL(6,2))"
-)
-
-
-@_query(_VOTED + f"SELECT o_custkey, v AS winner, CAST({_FINAL} AS DOUBLE) AS confidence FROM r WHERE place = 1")
-def agreement_conflict_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The winner's confidence: up with agreement, down with conflict."""
-    won = _ranked(spark, sf_dir).filter("place = 1")
-    return won.select("o_custkey", F.col("v").alias("winner"), F.expr(_FINAL).cast("double").alias("confidence"))
-
-
-@_query(
-    _VOTED
-    + """
-    SELECT o_custkey, CAST(least(1, CAST(sum(best) AS DECIMAL(20,4)) / count(*) + CASE WHEN count(*) > 1 THEN 0.05 ELSE 0 END) * 1000000 AS BIGINT) AS overall_millionths
-    FROM r GROUP BY o_custkey
-    """
-)
-def overall_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean confidence of a customer's values, more where there are several."""
-    rows = _votes(spark, sf_dir).groupBy("o_custkey").agg(F.sum("best").cast("double").alias("s"), F.count("*").alias("n"))
-    mean = F.col("s") / F.col("n") + F.when(F.col("n") > 1, 0.05).otherwise(0.0)
-    return rows.select("o_custkey", F.round(F.least(F.lit(1.0), mean) * 1000000).cast("long").alias("overall_millionths"))
-
-
-@_query(
-    """
-    SELECT lower(trim(event_type)) AS cluster_key, min(event_id) AS leader, count(*) AS members, count(DISTINCT user_id) AS users
-    FROM events GROUP BY 1
-    """
-)
-def exact_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters of equal folded values, led by their first member."""
-    rows = _table(spark, sf_dir, "events").groupBy(text.fold_key(F.col("event_type")).alias("cluster_key"))
-    return rows.agg(F.min("event_id").alias("leader"), F.count("*").alias("members"), F.count_distinct("user_id").alias("users"))
-
-
-def _order_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as evidence: priority is a skill, date-month and clerk-like text the headline."""
-    orders = _table(spark, sf_dir, "orders")
-    conf = F.when(F.col("o_orderstatus") == "F", 0.95).when(F.col("o_orderstatus") == "O", 0.9).otherwise(0.8)
-    nothing = value_of("full_name", F.lit(None).cast("string"))
-    return orders.select(
-        F.col("o_custkey").cast("string").alias("candidate_id"),
-        F.lit(2).alias("profile_ord"),
-        F.col("o_orderkey").cast("int").alias("item_ord"),
-        F.lit("headline").alias("field"),
-        value_of("headline", F.col("o_orderpriority")).alias("raw"),
-        F.when(F.lit(False), nothing).alias("canonical"),
-        F.concat(F.lit("orders:"), "o_orderstatus").alias("source"),
-        F.lit("star").alias("method"),
-        conf.alias("base_conf"),
-        F.array().cast("array<string>").alias("norms"),
-    )
-
-
-@_query()
-def consolidated_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain on orders: normalise, cluster, vote, score."""
-    _, _, scored = consolidate(_order_evidence(spark, sf_dir), "fixed")
-    return scored.select("candidate_id", "field", "value_key", "confidence", F.col("provenance.agreement_count").alias("agreement"), F.size("provenance.rejected_sources").alias("rejected"))
-
-
-# rules, projection, validation
-
-
-@_query(
-    _VOTED
-    + f"""
-    SELECT o_custkey, CASE WHEN {_FINAL} >= 0.9 AND v <> '5-LOW' THEN v END AS kept, {_FINAL} < 0.9 AS unsure, v = '5-LOW' AS banned
-    FROM r WHERE place = 1
-    """
-)
-def business_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Winners above a threshold and not on a list."""
-    won = _ranked(spark, sf_dir).filter("place = 1").withColumn("final", F.expr(_FINAL))
-    unsure, banned = F.col("final") < F.lit("0.9").cast("decimal(3,1)"), text.fold_key(F.col("v")).isin("5-low")
-    return won.select("o_custkey", F.when(~unsure & ~banned, F.col("v")).alias("kept"), unsure.alias("unsure"), banned.alias("banned"))
-
-
-def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as nested profiles with their orders' keys, largest first."""
-    nation, region = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
-    orders = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey"), asc=False).alias("orders"))
-    joined = _table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    joined = joined.join(region, F.col("n_regionkey") == F.col("r_regionkey")).join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return joined.select(
-        F.col("c_custkey").alias("candidate_id"),
-        F.col("c_name").alias("full_name"),
-        F.struct(F.struct(F.col("n_name").alias("city"), F.col("r_name").alias("country")).alias("value"), F.lit("x").alias("provenance")).alias("location"),
-        F.coalesce("orders", F.array().cast("array<bigint>")).alias("orders"),
-    )
-
-
-@_query(
-    """
-    SELECT c_custkey AS candidate_id, n_name AS city, r_name AS country, first_key, last_key FROM customer
-    JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-    LEFT JOIN (SELECT o_custkey, max(o_orderkey) AS first_key, min(o_orderkey) AS last_key FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey
-    """
-)
-def project_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths into nested profiles: members, first and last elements."""
-    profiles = _customers(spark, sf_dir)
-    paths = {"city": "location.city", "country": "location.country", "first_key": "orders[0]", "last_key": "orders[-1]"}
-    return profiles.select("candidate_id", *(projection.path_of(profiles.schema, p)[0].alias(n) for n, p in paths.items()))
-
-
-@_query("SELECT c_custkey AS candidate_id, CAST(count(o_orderkey) AS INTEGER) AS n_orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
-def project_computed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The size of an array as an output field; none is zero and not missing."""
-    return _customers(spark, sf_dir).select("candidate_id", F.size("orders").alias("n_orders"))
-
-
-@_query(
-    """
-    SELECT c_custkey AS candidate_id, CASE WHEN n = 0 THEN '{"candidate_id":' || CAST(c_custkey AS VARCHAR) || '}'
-           ELSE '{"candidate_id":' || CAST(c_custkey AS VARCHAR) || ',"n":' || CAST(n AS VARCHAR) || '}' END AS omitted,
-           CASE WHEN n > 0 THEN n END AS nulled
-    FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)
-    """
-)
-def missing_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A missing field left out of the JSON output, or null in the row."""
-    rows = _customers(spark, sf_dir).withColumn("nulled", F.nullif(F.size("orders").cast("long"), F.lit(0).cast("long")))
-    return rows.select("candidate_id", F.to_json(F.struct("candidate_id", F.col("nulled").alias("n"))).alias("omitted"), "nulled")
-
-
-@_query(
-    r"""
-    SELECT c_custkey AS candidate_id, NOT regexp_full_match(mail, '[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+') AS bad_mail,
-           length(n_name) <> 2 AS long_country FROM
-    (SELECT c_custkey, n_name, CASE WHEN c_custkey % 2 = 0 THEN replace(c_name, '#', '.') || '@x.org' ELSE c_name END AS mail
-     FROM customer JOIN nation ON c_nationkey = n_nationkey)
-    """
-)
-def validate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors and warnings of projected customers."""
-    nation = _table(spark, sf_dir, "nation")
-    joined = _table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    mail = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.replace("c_name", F.lit("#"), F.lit(".")), F.lit("@x.org"))).otherwise(F.col("c_name"))
-    rows = joined.select(F.col("c_custkey").alias("candidate_id"), mail.alias("primary_email"), F.struct(F.col("n_name").alias("country")).alias("location"))
-    told = validation.validate(rows, {"fields": [{"path": "primary_email", "type": "string"}, {"path": "location", "type": "object"}]})
-    return told.select("candidate_id", (F.size("errors") > 0).alias("bad_mail"), (F.size("warnings") > 0).alias("long_country"))
-
-
-# windows and sets
-
-
-@_query(
-    """
-    SELECT user_id, block, min(event_id) AS first_event, count(*) AS events FROM
-    (SELECT user_id, event_id, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END)
-            OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS block FROM events) GROUP BY user_id, block
-    """
-)
-def blocks_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's events cut into blocks, each begun by an error."""
-    run = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    marked = _table(spark, sf_dir, "events").withColumn("block", F.sum((F.col("event_type") == "error").cast("long")).over(run))
-    return marked.groupBy("user_id", "block").agg(F.min("event_id").alias("first_event"), F.count("*").alias("events"))
-
-
-@_query(
-    """
-    SELECT user_id, event_id, CAST(place AS INTEGER) AS place FROM
-    (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS place FROM events) WHERE place <= 15
-    """
-)
-def top15_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's fifteen latest events."""
-    latest = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
-    return _table(spark, sf_dir, "events").withColumn("place", F.row_number().over(latest)).filter("place <= 15").select("user_id", "event_id", "place")
-
-
-@_query(
-    """
-    SELECT user_id, string_agg(event_type, ',' ORDER BY f) AS seen FROM
-    (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY user_id, event_type) GROUP BY user_id
-    """
-)
-def distinct_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user's distinct event types in order of first sight."""
-    seen = _table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("f"))
-    ordered = seen.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("f", "event_type"))).alias("r"))
-    return ordered.select("user_id", F.array_join(F.transform("r", lambda x: x["event_type"]), ",").alias("seen"))
-
-
-@_query(
-    """
-    SELECT 'customer' AS kind, c_custkey AS id, c_name AS name, c_nationkey AS nation FROM customer
-    UNION ALL SELECT 'supplier', s_suppkey, s_name, s_nationkey FROM supplier
-    """
-)
-def union_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of two sources under one schema."""
-
-    def side(table: str, kind: str, letter: str, key: str) -> DataFrame:
-        return _table(spark, sf_dir, table).select(
-            F.lit(kind).alias("kind"), F.col(f"{letter}_{key}").alias("id"), F.col(f"{letter}_name").alias("name"), F.col(f"{letter}_nationkey").alias("nation")
-        )
-
-    return side("customer", "customer", "c", "custkey").unionByName(side("supplier", "supplier", "s", "suppkey"))
-
-
-@_query(
-    """
-    SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')
-    """
-)
-def anti_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers none of whose orders is on a list."""
-    urgent = _table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
-    return _table(spark, sf_dir, "customer").join(urgent, "c_custkey", "left_anti").select("c_custkey")
-
-
-@_query(
-    """
-    SELECT o_orderstatus AS source, count(*) AS n_rows, count(DISTINCT o_custkey) AS candidates, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS priorities
-    FROM orders GROUP BY o_orderstatus
-    """
-)
-def extraction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each source holds."""
-    rows = _table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("source"))
-    return rows.agg(
-        F.count("*").alias("n_rows"), F.count_distinct("o_custkey").alias("candidates"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("priorities")
-    )
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The winner, its confidence and its support for every customer."""
-    votes = weighted_vote(spark, sf_dir)
-    scores = agreement_conflict_confidence(spark, sf_dir).select("o_custkey", "confidence")
-    return votes.join(scores, "o_custkey").orderBy("o_custkey")
-
+QUERIES |= evidence_queries.QUERIES
+ORACLE_SQL |= evidence_queries.ORACLE_SQL
+flagship = evidence_queries.flagship

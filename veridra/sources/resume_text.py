@@ -42,8 +42,10 @@ DATE_RANGE = (
     r"(?i)\b(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec|January|February|March|April|June|July|August|September|"
     r"October|November|December)\b.*\b(?:Present|20\d{2})\b"
 )
+#: fixed values: a place before a postal code, what parts a line, and the title of work that names none
 PLACE = r"([A-Za-z\s]+),\s*([A-Za-z\s]+)\s*-\s*\d{6}"
 DASHES = r"[-–|]"
+DEFAULT_TITLE = "Software Engineer"
 
 
 def docx_text(content: bytes | None) -> str:
@@ -141,6 +143,11 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), strip), lambda line: line != "")
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def find_skills(text: Column, skills: tuple[str, ...] = SKILLS) -> Column:
     """Those of ``skills`` that stand in a text as whole words, in their order.
 
@@ -155,8 +162,8 @@ def find_skills(text: Column, skills: tuple[str, ...] = SKILLS) -> Column:
     def hits(words: Column) -> Column:
         return F.transform(F.filter(F.array(*meant), lambda m: F.arrays_overlap(m["shown_by"], words)), lambda m: m["skill"])
 
-    # an array of one binds the words, so that the text is not searched again for every skill
-    return F.when(text.isNotNull(), F.get(F.transform(F.array(taken), hits), F.lit(0)))
+    # the text is not searched again for every skill
+    return F.when(text.isNotNull(), _bound(taken, hits))
 
 
 def _escaped(word: str) -> str:
@@ -164,23 +171,7 @@ def _escaped(word: str) -> str:
 
 
 def experience_blocks(text: Column) -> Column:
-    """Experience items: a line with a date range begins a block.
-
-    The blocks are built by folding over the lines, so a résumé is one row
-    throughout.
-    """
-    folded = F.aggregate(
-        lines_of(text),
-        F.array().cast("array<array<string>>"),
-        lambda blocks, line: F.when(
-            line.rlike(DATE_RANGE) | (F.size(blocks) == 0), F.concat(blocks, F.array(F.array(line)))
-        ).otherwise(
-            F.concat(
-                F.slice(blocks, F.lit(1), F.greatest(F.size(blocks) - 1, F.lit(0))),
-                F.array(F.concat(F.element_at(blocks, -1), F.array(line))),
-            )
-        ),
-    )
+    """Experience items: the first line and each with a date range begin a block, which lasts to the next."""
 
     def block(lines: Column) -> Column:
         first, second = F.get(lines, F.lit(0)), F.get(lines, F.lit(1))
@@ -189,13 +180,22 @@ def experience_blocks(text: Column) -> Column:
         dates = F.split(F.regexp_extract(dated, DATE_RANGE, 0), r"[-–]")
         return F.struct(
             strip(parts[0]).alias("company"),
-            F.coalesce(strip(F.get(parts, F.lit(1))), F.lit("Software Engineer")).alias("title"),
+            F.coalesce(strip(F.get(parts, F.lit(1))), F.lit(DEFAULT_TITLE)).alias("title"),
             strip(F.get(dates, F.lit(0))).alias("start"),
             strip(F.get(dates, F.lit(1))).alias("end"),
             F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), "\n").alias("summary"),
         ).cast(EXPERIENCE)
 
-    return F.transform(folded, block)
+    def blocks(lines: Column) -> Column:
+        marked = F.transform(lines, lambda line, i: F.when((i == 0) | line.rlike(DATE_RANGE), i))
+        return _bound(
+            F.filter(marked, lambda i: i.isNotNull()),
+            lambda starts: F.transform(
+                starts, lambda a, j: block(F.slice(lines, a + 1, F.coalesce(F.get(starts, j + 1), F.size(lines)) - a))
+            ),
+        )
+
+    return _bound(lines_of(text), blocks)
 
 
 def education_lines(text: Column) -> Column:
