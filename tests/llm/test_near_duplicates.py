@@ -167,9 +167,11 @@ def brute_embeddings(rows):
     return sorted((str(rows[i][0]), degree[i], str(least.get(root[i]) if i in sound else rows[i][0])) for i in range(len(rows)))
 
 
-def check_embeddings(spark, rows):
-    frame = spark.createDataFrame([(k, v, 0) for k, v in rows], "vec_id long, embedding array<float>, label int")
-    found = embedding_dedup.components(frame).collect()
+def check_embeddings(spark, rows, kind="float", **settings):
+    frame = spark.createDataFrame([(k, v, 0) for k, v in rows], f"vec_id long, embedding array<{kind}>, label int")
+    clashes = ("node", "h", "vector", "home", "visits", "cell", "copies", "kept", "n_links", "component_id")
+    frame = frame.withColumns({c: F.lit("clash") for c in clashes})
+    found = embedding_dedup.components(frame, **settings).collect()
     assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in found) == brute_embeddings(rows)
     assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in found)
 
@@ -181,12 +183,48 @@ def cloud(seed, n=250, d=8):
     return [(int(i) + 3, [float(x) for x in np.float32(v)]) for i, v in enumerate(rows)]
 
 
-def test_embeddings_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("fan", [embedding_dedup.FAN, 4])
+def test_embeddings_against_brute_force(spark, monkeypatch, fan):
+    """All cells that the bound allows: every link, with one level of cells or two."""
     check_embeddings(spark, cloud(1))
-    for name, value in (("CELL_VECTORS", 20), ("MEMBERS", 10), ("VISITORS", 30)):
+    for name, value in (("FAN", fan), ("BLOCK_NUMBERS", 80), ("CHUNK_NUMBERS", 240)):
         monkeypatch.setattr(embedding_dedup, name, value)
-    check_embeddings(spark, cloud(2))
-    check_embeddings(spark, cloud(3, d=3))
+    check_embeddings(spark, cloud(2), probes=None, cell_vectors=20)
+    check_embeddings(spark, cloud(3, d=3), probes=None, cell_vectors=20)
+
+
+@pytest.mark.parametrize("fan", [embedding_dedup.FAN, 8])
+def test_recall_of_the_nearest_cells(spark, monkeypatch, fan):
+    """Groups among vectors without any: nearly all links, none that is not one."""
+    monkeypatch.setattr(embedding_dedup, "FAN", fan)
+    chooser = np.random.default_rng(11)
+    bases, near = chooser.normal(size=(1500, 32)), []
+    for k, size in enumerate([2] * 100 + [6] * 30 + [60] * 4):
+        near.append(bases[k] + chooser.normal(size=(size, 32)) * chooser.uniform(0.05, 0.35))
+    rows = np.concatenate([bases, *near])
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    linked = np.triu(unit @ unit.T >= 0.9, 1)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r for r in embedding_dedup.components(frame, cell_vectors=64).collect()}
+    degree = linked.sum(0) + linked.sum(1)
+    assert all(found[i]["n_links"] <= degree[i] for i in found)
+    recall = sum(r["n_links"] for r in found.values()) / degree.sum()
+    assert recall >= 0.9, recall
+    wanted = roots(range(len(rows)), list(zip(*np.nonzero(linked))))
+    assert np.mean([found[i]["component_id"] == wanted[i] for i in found]) > 0.9
+
+
+def test_vectors_that_share_a_hash_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "hash_of", lambda v: (F.get(v, F.lit(0)) > 0).cast("long"))
+    check_embeddings(spark, cloud(4, n=120))
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 5e-324])
+def test_very_long_and_very_short_vectors(spark, size):
+    rows = [(1, [size, size]), (2, [1.0, 1.0]), (3, [size, 0.0]), (4, [0.0, size]), (5, [size, -size])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.components(frame).collect()}
+    assert found == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5)}
 
 
 def test_awkward_vectors(spark):
@@ -201,12 +239,13 @@ def test_awkward_vectors(spark):
 def test_visits_lose_no_partner():
     chooser = np.random.default_rng(9)
     vectors = embedding_dedup.unit_rows(chooser.normal(size=(600, 4)))
-    centres = embedding_dedup.spherical_kmeans(vectors, 25)
-    home, visits = embedding_dedup.visited_cells(vectors, centres, np.sqrt(1 - 0.81))
+    cells = embedding_dedup.Cells(5, embedding_dedup.spherical_kmeans(vectors, 25))
+    home, visits = cells.visits(vectors, np.sqrt(1 - 0.81), None)
     near = vectors @ vectors.T >= 0.9
-    i, j = np.nonzero(near)
-    assert (visits[i, home[j]] | visits[j, home[i]]).all()
-    assert visits.mean() < 0.5
+    assert all(home[j] in visits[i] for i, j in zip(*np.nonzero(near)))
+    assert np.mean([len(v) for v in visits]) < 0.5 * 25
+    _, few = cells.visits(vectors, np.sqrt(1 - 0.81), 3)
+    assert all(v[0] == h and len(v) <= 3 and set(v) <= set(w) for h, v, w in zip(home, few, visits))
 
 
 @pytest.mark.parametrize("sf", ["sf0.01"])
