@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -86,10 +87,46 @@ def test_rolling_hashes_do_not_depend_on_place():
 def test_blocks_rise_with_ids(spark):
     ids = [5, -3, 10**15, 7, 8, 9, None, 2**63 - 1, -(2**62)]
     frame = spark.createDataFrame([(i, "some words here") for i in ids], "doc_id long, text string")
-    dealt, _ = dedup.deal_blocks(frame, "doc_id", "text", 20)
-    rows = sorted((np.inf if r["doc_id"] is None else r["doc_id"], r["block"]) for r in dealt.collect())
-    blocks = [b for _, b in rows]
-    assert blocks == sorted(blocks)
+    deal = dedup.deal_blocks(frame, "doc_id", "text", 20)
+    known = np.array(sorted(dedup.LAST_ID if i is None else i for i in ids))
+    blocks = deal.block_of(known, np.zeros(known.size, np.int64))
+    assert (np.diff(blocks) >= 0).all() and len(set(blocks.tolist())) > 4
+    assert [deal.rank_of(int(b)) for b in blocks] == sorted(deal.rank_of(int(b)) for b in blocks)
+
+
+def test_blocks_of_repeated_and_absent_ids_are_bounded(spark):
+    """Rows of one id, equal texts among them, share a rank and not a block."""
+    rows = [(k, "few words") for k in range(40)] + [(7, f"text number {k % 3}") for k in range(400)] + [(None, "no id")] * 300
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    deal = dedup.deal_blocks(frame, "doc_id", "text", 500)
+    assert len(deal.firsts) < 8 and deal.parts.max() > 5
+    assert deal.parts[np.searchsorted(deal.firsts, 7)] >= 10
+    chooser = np.random.default_rng(1)
+    dealt = deal.block_of(np.full(400, 7), chooser.integers(0, 1 << 31, 400))
+    assert np.bincount(dealt - dealt.min()).max() < 120 and len({deal.rank_of(int(b)) for b in dealt}) == 1
+    passage = " ".join(f"p{k}" for k in range(8))
+    check(spark, [(k, f"{passage} own{k}") for k in (3, 5, 5, 5, 5, 9, 9)] + [(5, f"{passage} x{k}") for k in range(60)], block_bytes=200, range_windows=9)
+
+
+def test_null_ids_come_last_whatever_their_number(spark):
+    passage = " ".join(f"p{k}" for k in range(8))
+    frame = spark.createDataFrame([(None, f"{passage} z{k} {passage}") for k in range(50)] + [(2, passage)], "doc_id long, text string")
+    found = dedup.remove_repeats(frame, window=5, block_bytes=300, range_windows=10).collect()
+    assert sorted(r["n_removed"] for r in found) == [0] + [16] * 50
+    alone = dedup.remove_repeats(frame.filter("doc_id IS NULL"), window=5, block_bytes=300, range_windows=10).collect()
+    assert {r["n_removed"] for r in alone} == {0}
+
+
+def test_ranges_without_hashes_cost_nothing():
+    """A hundred million ranges and few hashes."""
+    hashes = np.sort(np.random.default_rng(3).integers(0, 2**64 - 1, 5000, dtype=np.uint64))
+    began = time.perf_counter()
+    parts = list(dedup.packed_ranges(hashes, 10**8))
+    assert time.perf_counter() - began < 1
+    assert [i for i, _ in parts] == sorted(set(dedup.range_of(hashes, 10**8).tolist()))
+    assert np.array_equal(np.concatenate([dedup.unpack_sorted(x) for _, x in parts]), hashes)
+    edges = np.array([0, 2**32 - 1, 2**63, 2**64 - 1], np.uint64)
+    assert dedup.range_of(edges, 7).tolist() == [0, 0, 3, 6]
 
 
 def test_awkward_rows(spark):

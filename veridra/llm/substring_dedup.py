@@ -5,18 +5,22 @@ window that covers it also starts in a document with a smaller id; windows are
 judged on the input. Repeated windows that overlap or touch merge into maximal
 removal intervals.
 
-1. Documents are dealt into blocks of consecutive ids of about ``BLOCK_BYTES``, so
-   that every document of a block has a smaller id than those of later blocks.
+1. Documents are dealt into blocks of consecutive ids of about ``BLOCK_BYTES`` of text
+   (by sums of bytes, sorted in Spark), so that every document of a block has a smaller
+   id than those of later blocks. An id whose rows hold more, and the null id, have
+   blocks of their own, all of the same rank.
 2. Each block rolls a 64-bit polynomial hash over its words and keeps its distinct
    window hashes, sorted. They leave as differences, packed by range of hash, a few
-   bytes each: no row per window, and a passage that a third of all documents
-   share leaves a block once.
-3. Each range of hashes notes which of them an earlier block holds, and answers
+   bytes each: a passage that a third of all documents share leaves a block once, and
+   ranges that hold none of a block's hashes cost it nothing.
+3. Each range of hashes notes which of them a block of lower rank holds, and answers
    every block with one bit per hash.
 4. Each block joins the answers to what it knows of its own documents and emits
    texts and intervals.
 
-The text is shuffled once; both uses of a block read that shuffle. Hashes have 64
+The text is shuffled once; both uses of a block read that shuffle. Blocks grow with the
+table up to ``MAX_BLOCK_BYTES`` so that a packed row holds many hashes: ``PACKED`` or
+more up to about 1 TB, some ten at 10 TB, and single ones at 100 TB. Hashes have 64
 bits after mixing: n distinct windows meet falsely with probability n²/2⁶⁵.
 
 Defined results: null and empty texts have no words; shorter documents than a
@@ -26,20 +30,22 @@ counts as larger than all others; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release_memory
+from .common import release_memory, shuffle_width
 
 WINDOW = 50
-BLOCK_BYTES = 6 << 20
-#: windows that one range of hashes should hold
-RANGE_WINDOWS = 1_000_000
+BLOCK_BYTES, MAX_BLOCK_BYTES = 6 << 20, 24 << 20
+#: windows that one range of hashes should hold at most, bytes of text for each, and hashes wanted in a packed row
+RANGE_WINDOWS, WINDOW_BYTES, PACKED = 2_000_000, 6, 64
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: words whose hashes a worker remembers
 CACHE_WORDS = 150_000
@@ -110,9 +116,17 @@ class Block:
         return np.flatnonzero(earlier[at] | (self.first[at] < self.ids[k]))
 
 
-def range_cuts(ranges: int) -> np.ndarray:
-    """Lower ends of ``ranges`` equal parts of the 64-bit numbers."""
-    return np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)
+def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    """The number of the range, of ``ranges`` equal parts of the 64-bit numbers, that holds each hash."""
+    return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def packed_ranges(hashes: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """Each range that holds some of the sorted ``hashes``, with those."""
+    spans = range_of(hashes, ranges)
+    starts = np.flatnonzero(np.diff(spans, prepend=-1))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(hashes)]):
+        yield int(spans[a]), pack_sorted(hashes[a:b])
 
 
 def pack_sorted(hashes: np.ndarray) -> bytes:
@@ -141,33 +155,53 @@ def _hasher(window: int) -> RollingHasher:
     return _HASHERS.setdefault(window, RollingHasher(window))
 
 
-#: edges that are broadcast at most; more blocks divide the spans between them evenly
-MAX_EDGES = 4096
+@dataclass
+class Deal:
+    """Blocks by id: the first id of each rank, and how many blocks the rank has."""
 
+    firsts: np.ndarray
+    parts: np.ndarray
 
-def deal_blocks(docs: DataFrame, doc_id: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """``docs`` with a number ``block`` that rises with the id, and the texts' bytes."""
-    size = F.octet_length(F.coalesce(F.col(text), F.lit("")))
-    seen = docs.agg(F.sum(size).alias("bytes"), F.min(doc_id).alias("low"), F.max(doc_id).alias("high")).first()
-    total = seen["bytes"] or 0
-    blocks = max(1, -(-total // block_bytes))
-    if seen["low"] is None:
-        return docs.withColumn("block", F.lit(0).cast("long")), total
-    spans = min(blocks, MAX_EDGES)
-    shares = [i / spans for i in range(1, spans)]
-    inner = docs.approxQuantile(doc_id, shares, 0.1 / spans) if shares else []
-    edges = np.array(sorted({int(seen["low"]), *(int(x) for x in inner), min(int(seen["high"]) + 1, np.iinfo(np.int64).max)}), np.int64)
-    parts = -(-blocks // spans)
+    def __post_init__(self):
+        self.bases = np.cumsum(self.parts) - self.parts
 
-    @F.arrow_udf("long")
-    def block_of(ids: pa.Array) -> pa.Array:
-        known = pc.fill_null(ids.cast(pa.int64()), int(edges[-1])).to_numpy(zero_copy_only=False)
-        span = np.minimum(np.searchsorted(edges, known, "right") - 1, len(edges) - 2)
-        width = edges[span + 1] - edges[span]
-        part = ((known - edges[span]).astype(float) / width * parts).astype(np.int64)
-        return pa.array(span * (parts + 1) + np.minimum(part, parts))
+    def block_of(self, ids: np.ndarray, salts: np.ndarray) -> np.ndarray:
+        rank = np.maximum(np.searchsorted(self.firsts, ids, "right") - 1, 0)
+        return self.bases[rank] + salts % self.parts[rank]
+
+    def rank_of(self, block: int) -> int:
+        return int(np.searchsorted(self.bases, block, "right") - 1)
+
+
+#: what a null id counts as
+LAST_ID = np.iinfo(np.int64).max
 
-    return docs.withColumn("block", block_of(F.col(doc_id))), total
+
+def deal_blocks(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> Deal:
+    """Blocks of about ``block_bytes``; 12 bytes on the driver and the workers for each."""
+    size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
+    ids = docs.groupBy(F.coalesce(F.col(doc_id), F.lit(LAST_ID)).alias("id")).agg(F.sum(size + 1).alias("size"))
+    rows = ids.repartitionByRange(shuffle_width(docs.sparkSession), "id").sortWithinPartitions("id")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # bytes of the block that is being filled
+        for batch in batches:
+            found = []
+            for key, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if size > block_bytes or key == LAST_ID:
+                    found.append((key, -(-size // block_bytes)))
+                    held = None
+                elif held is None or held + size > block_bytes:
+                    found.append((key, 1))
+                    held = size
+                else:
+                    held += size
+            firsts, parts = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(firsts, pa.int64()), pa.array(parts, pa.int64())], ["first", "parts"])
+
+    # one row for each block_bytes of text, two numbers each
+    found = sorted((r["first"], r["parts"]) for r in rows.mapInArrow(cut, "first long, parts long").collect())
+    return Deal(np.array([f for f, _ in found] or [0], np.int64), np.array([p for _, p in found] or [1], np.int64))
 
 
 RESULT_COLUMNS = ("n_words", "n_removed", "kept_text", "removed")
@@ -178,7 +212,7 @@ def remove_repeats(
     doc_id: str = "doc_id",
     text: str = "text",
     window: int = WINDOW,
-    block_bytes: int = BLOCK_BYTES,
+    block_bytes: int | None = None,
     range_windows: int = RANGE_WINDOWS,
 ) -> DataFrame:
     """The rows of ``docs`` with n_words, n_removed, kept_text and removed.
@@ -187,22 +221,37 @@ def remove_repeats(
     maximal removed intervals as [from, to) word numbers. Input columns of these
     names are replaced.
     """
+    spark = docs.sparkSession
     carried = [c for c in docs.columns if c not in RESULT_COLUMNS]
     at_id, at_text = carried.index(doc_id), carried.index(text)
     plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)))
     plain = plain.withColumn(f"c{at_id}", F.col(f"c{at_id}").cast("long"))
-    dealt, total = deal_blocks(plain, f"c{at_id}", f"c{at_text}", block_bytes)
-    ranges = max(1, total // (6 * range_windows))
     fields = list(plain.schema.fields)
+    key, value = F.col(f"c{at_id}"), F.col(f"c{at_text}")
+    total = plain.agg(F.sum(F.octet_length(value).cast("long")).alias("n")).first()["n"] or 0
+    windows = total // WINDOW_BYTES
+    if block_bytes is None:
+        block_bytes = min(MAX_BLOCK_BYTES, max(BLOCK_BYTES, PACKED * windows // range_windows * WINDOW_BYTES))
+    deal = deal_blocks(plain, f"c{at_id}", f"c{at_text}", block_bytes)
+    ranges = max(1, -(-windows // range_windows))
+    shared = spark.sparkContext.broadcast(deal)
+    n_blocks = int(deal.parts.sum())
+
+    @F.arrow_udf("long")
+    def block_of(ids: pa.Array, salts: pa.Array) -> pa.Array:
+        known = ids.fill_null(LAST_ID).to_numpy(zero_copy_only=False)
+        return pa.array(shared.value.block_of(known, salts.to_numpy(zero_copy_only=False)))
+
+    # rows of one id are dealt by text and, as texts repeat, by the partition that they come from
+    salt = F.pmod(F.xxhash64(value, F.spark_partition_id()), F.lit(1 << 31))
+    width = max(shuffle_width(spark), -(-n_blocks // 4))
+    dealt = plain.withColumn("block", block_of(key, salt)).repartition(width, "block")
 
     def block_of_table(table: pa.Table) -> Block:
         return Block(table[f"c{at_id}"].to_pylist(), table[f"c{at_text}"].to_pylist(), window, _hasher(window))
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        distinct = block_of_table(table).distinct
-        ends = np.searchsorted(distinct, range_cuts(ranges)).tolist() + [len(distinct)]
-        parts = [(i, pack_sorted(distinct[a:b])) for i, (a, b) in enumerate(zip(ends, ends[1:])) if b > a]
-        del distinct
+        parts = list(packed_ranges(block_of_table(table).distinct, ranges))
         release_memory()
         return pa.table(
             {
@@ -215,14 +264,18 @@ def remove_repeats(
     def answer(key: tuple, table: pa.Table) -> pa.Table:
         rows = sorted(zip(table["block"].to_pylist(), table["packed"].to_pylist()))
         parts = [unpack_sorted(x) for _, x in rows]
+        sizes = [len(x) for x in parts]
         joined = np.concatenate(parts)
-        order = np.argsort(joined, kind="stable")  # equal hashes stay in order of block
-        ranked = joined[order]
+        ranks = np.repeat(np.array([shared.value.rank_of(block) for block, _ in rows], np.int32), sizes)
+        order = np.argsort(joined, kind="stable")  # equal hashes stay in order of block, and so of rank
+        ranked, ranks = joined[order], ranks[order]
+        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        least = np.repeat(ranks[starts], np.diff(np.append(starts, ranked.size)))
         seen = np.zeros(len(joined), bool)
-        seen[order[1:]] = ranked[1:] == ranked[:-1]
-        bits = [np.packbits(x) for x in np.split(seen, np.cumsum([len(x) for x in parts])[:-1])]
+        seen[order] = ranks > least
+        bits = [np.packbits(x) for x in np.split(seen, np.cumsum(sizes)[:-1])]
         told = [(block, x.tobytes()) for (block, _), x in zip(rows, bits) if x.any()]
-        del parts, joined, order, ranked, seen, bits
+        del parts, joined, order, ranked, ranks, least, seen, bits
         release_memory()
         return pa.table(
             {
@@ -236,12 +289,13 @@ def remove_repeats(
 
     def remove(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         block = block_of_table(table)
-        cuts = range_cuts(ranges)
         earlier = np.zeros(len(block.distinct), bool)
-        for span, bits in zip(answers["span"].to_pylist(), answers["bits"].to_pylist()):
-            a = np.searchsorted(block.distinct, cuts[span])
-            b = np.searchsorted(block.distinct, cuts[span + 1]) if span + 1 < ranges else len(block.distinct)
-            earlier[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+        if len(answers):
+            spans = range_of(block.distinct, ranges)
+            numbers = answers["span"].to_numpy()
+            ends = zip(np.searchsorted(spans, numbers, "left").tolist(), np.searchsorted(spans, numbers, "right").tolist())
+            for (a, b), bits in zip(ends, answers["bits"].to_pylist()):
+                earlier[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
         n_words, n_removed, kept_texts, removed = [], [], [], []
         for k, text in enumerate(table[f"c{at_text}"].to_pylist()):
             words = (text or "").encode().split()
@@ -257,7 +311,8 @@ def remove_repeats(
         return pa.table([*(table[f.name] for f in fields), *made], [*(f.name for f in fields), *RESULT_COLUMNS])
 
     sent = dealt.groupBy("block").applyInArrow(send, "span long, block long, packed binary")
-    answers = sent.groupBy("span").applyInArrow(answer, "block long, span long, bits binary")
+    sent = sent.repartition(max(shuffle_width(spark), ranges), "span")
+    answers = sent.groupBy("span").applyInArrow(answer, "block long, span long, bits binary").repartition(width, "block")
     schema = T.StructType(
         fields
         + [
