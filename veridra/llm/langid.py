@@ -1,19 +1,24 @@
 """Language identification by words first, then shorter and shorter n-grams.
 
-Training counts every word of every training text. A word that the model knows
-adds, per language, the logarithm of its relative frequency there. An unseen word
-backs off: it is cut into n-grams of the longest known order that covers it
-(``MAX_GRAM`` characters down to one), each step down costing ``BACKOFF``; n-gram
-frequencies are those of the training words, edges marked, weighted by count.
-
-The counts cover all training documents and are aggregated before they are
-shuffled. The model that travels to the workers is bounded: the ``max_words`` most
-frequent words and the ``max_grams`` most frequent n-grams of each order. What lies
-beyond is scored by the next shorter order, so no word is left out.
-
-Defined results: a null text, a text without a letter and every text under an
-empty model is ``und`` with score 0. Ties go to the language that sorts first.
-The score is the winner's share of the posterior over languages.
+Training counts every word of every training text. A word that was seen adds, per
+language, the logarithm of its relative frequency there. An unseen word backs off: it is
+cut into n-grams of the longest order (``MAX_GRAM`` characters down to one) of which at
+least half were seen, each step down costing ``BACKOFF``; n-gram frequencies are those of
+the training words, edges marked, weighted by count. What one language has not seen
+counts there as half a sighting, the same for all languages.
+
+Every word and n-gram of the training texts is part of the model: a table of 64-bit keys
+and their frequencies by language. Up to ``MAX_BROADCAST_ROWS`` rows (a key in a
+language, 16 bytes each) it travels to the workers; a larger one stays a table, and
+``identify`` joins it with the distinct words of the texts. Both give the same verdicts.
+``max_words`` and ``max_grams`` of ``learn`` make a smaller model of the most frequent keys, if
+that is wanted.
+
+Words and n-grams are told apart by their keys: n of them meet falsely with probability
+n^2 / 2^65. Defined results: a null text, a text without a letter and every text under an
+empty model is ``und`` with score 0. Ties go to the language that sorts first. The score is
+the winner's share of the posterior over languages; ``known`` is the share of the words of
+which the model has seen the word or n-grams. Repeated rows have equal verdicts.
 """
 
 from __future__ import annotations
@@ -22,35 +27,38 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import release_memory, scratch
+from .common import checkpointed, release_memory, scratch
 from .splitting import is_plain, plain_pattern
 
 MAX_GRAM, BACKOFF = 4, 1.0
-MAX_WORDS, MAX_GRAMS = 60_000, 20_000
+MAX_BROADCAST_ROWS = 4_000_000
 UNKNOWN = "und"
+VERDICT = "struct<lang_pred string, score double, known double>"
 
 _WORDS = regex.compile(r"\p{L}+(?:\p{M}+\p{L}*)*").findall
 _PLAIN_WORDS = re.compile(plain_pattern(r"\p{L}+")).findall
-#: longer runs of letters are cut into stretches of this length
-WORD_CHARS = 48
-#: words that a worker counts before it hands the counts on, and that it remembers
-FLUSH_WORDS, CACHE_WORDS = 150_000, 150_000
+#: words that a worker counts before it hands the counts on, words that it remembers, and n-grams that it counts at once
+FLUSH_WORDS, CACHE_WORDS, FLUSH_GRAMS = 150_000, 150_000, 2_000_000
+#: words of a part of a text, and of a batch of new words, that are scored at once
+PART_WORDS, NEW_WORDS = 150_000, 4096
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
     lowered = text.lower()
-    words = _PLAIN_WORDS(lowered) if is_plain(lowered) else _WORDS(lowered)
-    if words and max(map(len, words)) > WORD_CHARS:
-        words = [w[i : i + WORD_CHARS] for w in words for i in range(0, len(w), WORD_CHARS)]
-    return words
+    return _PLAIN_WORDS(lowered) if is_plain(lowered) else _WORDS(lowered)
 
 
 def grams_of(word: str, order: int) -> list[str]:
@@ -58,40 +66,106 @@ def grams_of(word: str, order: int) -> list[str]:
     return [edged[i : i + order] for i in range(len(edged) - order + 1)]
 
 
+_word_key = partial(xxhash.xxh64_intdigest, seed=42)
+
+
+def word_keys(words: list[str]) -> np.ndarray:
+    """The keys of words: those that Spark's ``xxhash64`` gives them."""
+    return np.fromiter((_word_key(w.encode()) for w in words), np.uint64, len(words))
+
+
+def gram_keys(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n-grams of ``words``, as ``grams_of`` cuts them, and how many each word has."""
+    edged = [f"<{w}>" for w in words] if order > 1 else words
+    sizes = np.fromiter(map(len, edged), np.int64, len(edged))
+    codes = np.frombuffer("".join(edged).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    counts = np.maximum(sizes - order + 1, 0)
+    spots = np.repeat(np.cumsum(sizes) - sizes, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    keys = np.full(spots.size, order, np.uint64)
+    for k in range(order):
+        keys = (keys + codes[spots + k]) * _FACTOR
+        keys ^= keys >> np.uint64(29)
+    return keys, counts
+
+
+@dataclass
+class Frequencies:
+    """Logarithms of the relative frequencies of keys, by language; ``floor`` where there is none."""
+
+    floor: float
+    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.uint64))  # sorted
+    ends: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    langs: np.ndarray = field(default_factory=lambda: np.empty(0, np.int16))
+    logs: np.ndarray = field(default_factory=lambda: np.empty(0, np.float64))
+
+    @classmethod
+    def of(cls, keys: np.ndarray, langs: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> Frequencies:
+        """From rows of a key, the number of a language, and a count; ``totals`` by language."""
+        order = np.lexsort((langs, keys))
+        keys, langs, counts = keys[order], langs[order], counts[order]
+        lasts = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) if keys.size else np.empty(0, np.int64)
+        return cls(floor_of(totals), keys[lasts], lasts + 1, langs.astype(np.int16), np.log(counts / totals[langs]))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is unknown."""
+        if not self.keys.size:
+            return np.full(keys.size, -1)
+        places = np.minimum(np.searchsorted(self.keys, keys), self.keys.size - 1)
+        return np.where(self.keys[places] == keys, places, -1)
+
+    def rows(self, places: np.ndarray, languages: int) -> np.ndarray:
+        """Scores of known keys for all languages."""
+        out = np.full((places.size, languages), self.floor)
+        ends = self.ends[places]
+        sizes = ends - np.where(places > 0, self.ends[places - 1], 0)
+        at = np.repeat(ends - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+        out[np.repeat(np.arange(places.size), sizes), self.langs[at]] = self.logs[at]
+        return out
+
+
+def floor_of(totals: np.ndarray) -> float:
+    return math.log(0.5 / max(totals.max(initial=1), 1))
+
+
 @dataclass
 class LanguageModel:
-    """Log frequencies per language of known words and n-grams."""
+    """Frequencies of words, and of n-grams by their order."""
 
     languages: list[str]
-    words: dict[str, int]  # rows of scores
-    grams: dict[str, int]  # every order; their lengths differ
-    scores: np.ndarray
-
-    def score_words(self, words: list[str]) -> np.ndarray:
-        """Per-language log frequencies of words, backing off where they are unseen."""
-        out = np.zeros((len(words), len(self.languages)))
-        known = [(i, row) for i, w in enumerate(words) if (row := self.words.get(w)) is not None]
-        if known:
-            at, rows = map(list, zip(*known))
-            out[at] = self.scores[rows]
-        rest = [(i, w) for i, w in enumerate(words) if w not in self.words]
+    words: Frequencies
+    grams: dict[int, Frequencies]
+
+    def score_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Per-language scores of words, backing off where they are unseen, and whether anything of them was seen."""
+        size = len(self.languages)
+        out, seen = np.zeros((len(words), size)), np.zeros(len(words), bool)
+        places = self.words.find(word_keys(words))
+        known = np.flatnonzero(places >= 0)
+        out[known] = self.words.rows(places[known], size)
+        seen[known] = True
+        rest = np.flatnonzero(places < 0)
         for order in range(MAX_GRAM, 0, -1):
-            at, sizes, rows, left = [], [], [], []
-            for i, word in rest:
-                grams = grams_of(word, order)
-                found = [row for g in grams if (row := self.grams.get(g)) is not None]
-                if found and 2 * len(found) >= len(grams):
-                    at.append(i)
-                    sizes.append(len(found))
-                    rows += found
-                else:
-                    left.append((i, word))
-            if at:
-                starts = np.cumsum([0, *sizes[:-1]])
-                means = np.add.reduceat(self.scores[rows], starts, axis=0) / np.array(sizes)[:, None]
-                out[at] = means - BACKOFF * (MAX_GRAM - order)
-            rest = left
-        return out
+            if not rest.size or order not in self.grams:
+                continue
+            keys, counts = gram_keys([words[i] for i in rest], order)
+            places = self.grams[order].find(keys)
+            hit = np.flatnonzero(places >= 0)
+            owner = np.repeat(np.arange(rest.size), counts)[hit]
+            found = np.bincount(owner, minlength=rest.size)
+            enough = (found > 0) & (2 * found >= counts)
+            sums = np.zeros((rest.size, size))
+            for start in range(0, hit.size, NEW_WORDS):
+                part = slice(start, start + NEW_WORDS)
+                np.add.at(sums, owner[part], self.grams[order].rows(places[hit[part]], size))
+            out[rest[enough]] = sums[enough] / found[enough, None] - BACKOFF * (MAX_GRAM - order)
+            seen[rest[enough]] = True
+            rest = rest[~enough]
+        return out, seen
+
+
+def verdict_of(languages: list[str], total: np.ndarray) -> tuple[str, float]:
+    best = int(np.argmax(total))
+    return languages[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
 
 
 class Classifier:
@@ -99,17 +173,16 @@ class Classifier:
 
     def __init__(self, model: LanguageModel):
         self.model, self.known = model, {}
-        self.table = np.zeros((CACHE_WORDS, len(model.languages)))
+        self.table = np.zeros((0, len(model.languages) + 1))
 
-    def __call__(self, text: str | None) -> tuple[str, float]:
+    def __call__(self, text: str | None) -> tuple[str, float, float]:
         words = words_of(text) if text else []
         if not words or not self.model.languages:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.model.languages))
-        for start in range(0, len(words), CACHE_WORDS):  # a longer text is scored in parts
-            total += self._total(words[start : start + CACHE_WORDS])
-        best = int(np.argmax(total))
-        return self.model.languages[best], float(1.0 / np.exp(np.clip(total - total[best], -700, 0)).sum())
+            return UNKNOWN, 0.0, 0.0
+        total = np.zeros(self.table.shape[1])
+        for start in range(0, len(words), PART_WORDS):  # a longer text is scored in parts
+            total += self._total(words[start : start + PART_WORDS])
+        return *verdict_of(self.model.languages, total[:-1]), float(total[-1]) / len(words)
 
     def _total(self, words: list[str]) -> np.ndarray:
         new = list(set(words).difference(self.known))
@@ -117,8 +190,14 @@ class Classifier:
             self.known, new = {}, list(set(words))
         if new:
             first = len(self.known)
-            self.table[first : first + len(new)] = self.model.score_words(sorted(new))
-            self.known.update(zip(sorted(new), range(first, first + len(new))))
+            if first + len(new) > len(self.table):
+                self.table = np.resize(self.table, (max(2 * len(self.table), first + len(new), 1024), self.table.shape[1]))
+            new.sort()
+            for start in range(0, len(new), NEW_WORDS):
+                part = new[start : start + NEW_WORDS]
+                at = slice(first + start, first + start + len(part))
+                self.table[at, :-1], self.table[at, -1] = self.model.score_words(part)
+            self.known.update(zip(new, range(first, first + len(new))))
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         return self.table[at].sum(0)
 
@@ -150,78 +229,228 @@ def count_words(docs: DataFrame, text: str, lang: str) -> DataFrame:
         release_memory()
 
     rows = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text), F.col(lang))
-    partial = rows.mapInArrow(run, "lang string, word string, n long")
-    return partial.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    partial_counts = rows.mapInArrow(run, "lang string, word string, n long")
+    return partial_counts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
 
+def count_grams(counts: DataFrame) -> DataFrame:
+    """gram_order, key, lang, n of the n-grams of all words in ``counts`` (lang, word, n)."""
+    names = ["gram_order", "key", "lang", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], list] = {}
+        size = 0
 
-def _top(counts: DataFrame, key: str, limit: int) -> list:
-    """The ``limit`` most frequent keys, each with its counts by language."""
-    by_key = counts.groupBy(key).agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
-    # written first: a direct collect would bring every partition's candidates to the driver
-    with scratch(by_key.orderBy(F.desc("total"), key).limit(limit)) as top:
-        return sorted(top.select("total", key, "by_lang").collect(), key=lambda r: (-r[0], r[1]))
+        def rows() -> Iterator[pa.RecordBatch]:
+            for (lang, order), parts in held.items():
+                keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                n = np.zeros(keys.size, np.int64)
+                np.add.at(n, place, np.concatenate([n for _, n in parts]))
+                columns = [pa.repeat(pa.scalar(order, pa.int32()), keys.size), pa.array(keys.view(np.int64)), pa.repeat(lang, keys.size), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
+        for batch in batches:
+            langs = np.array(batch.column(0).to_pylist(), object)
+            words, n = batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            for lang in sorted(set(langs.tolist())):
+                at = np.flatnonzero(langs == lang)
+                for order in range(1, MAX_GRAM + 1):
+                    keys, per_word = gram_keys([words[i] for i in at], order)
+                    held.setdefault((lang, order), []).append((keys, np.repeat(n[at], per_word)))
+                    size += keys.size
+            if size > FLUSH_GRAMS:
+                yield from rows()
+                held.clear()
+                size = 0
+        yield from rows()
+        held.clear()
+        release_memory()
 
-def _cuts(order: int) -> Column:
-    """The n-grams of column ``word``, as ``grams_of`` cuts them."""
-    edged = F.concat(F.lit("<"), F.col("word"), F.lit(">")) if order > 1 else F.col("word")
-    spots = F.sequence(F.lit(1), F.greatest(F.length(edged) - F.lit(order - 1), F.lit(1)))
-    return F.filter(F.transform(spots, lambda i: F.substring(edged, i, F.lit(order))), lambda g: F.length(g) == order)
+    parts = counts.select("lang", "word", "n").mapInArrow(run, "gram_order int, key long, lang string, n long")
+    return parts.groupBy("gram_order", "key", "lang").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
-    """Learn from every row of ``docs`` with a text and a language."""
-    scores: list[np.ndarray] = []
-
-    def frequencies(rows: list, totals: np.ndarray) -> dict[str, int]:
-        places = {}
-        for _, key, by_lang in rows:
-            row = np.full(len(languages), math.log(0.5 / totals.max()))  # unseen: the same for all languages
-            for lang_, n in by_lang:
-                row[place[lang_]] = math.log(n / totals[place[lang_]])
-            places[key] = len(scores)
-            scores.append(row)
-        return places
-
-    def totals_of(counts: DataFrame) -> np.ndarray:
-        sums = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        return np.array([sums.get(x, 1) for x in languages], float)
+def _most_frequent(counts: DataFrame, keys: list[str], limit: int | None, by: list[str]) -> DataFrame:
+    """The rows of the ``limit`` most frequent ``keys`` within ``by``."""
+    if limit is None:
+        return counts
+    totals = counts.groupBy(*by, *keys).agg(F.sum("n").alias("total"))
+    order = Window.partitionBy(*by).orderBy(F.desc("total"), *keys) if by else Window.partitionBy(F.lit(0)).orderBy(F.desc("total"), *keys)
+    kept = totals.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    return counts.join(kept.select(*by, *keys), [*by, *keys], "left_semi")
 
+
+@dataclass
+class LanguageTables:
+    """A model that stays a table: gram_order (0: words), key, lang_no, n."""
+
+    languages: list[str]
+    totals: np.ndarray  # by order and language
+    rows: DataFrame
+
+    def local(self) -> LanguageModel:
+        """The model in memory."""
+        found = {o: [] for o in range(MAX_GRAM + 1)}
+        table = self.rows.select("gram_order", "key", "lang_no", "n").toArrow()
+        orders, keys, langs, n = (table[c].to_numpy() for c in table.column_names)
+        for order in found:
+            at = orders == order
+            found[order] = Frequencies.of(keys[at].view(np.uint64), langs[at].astype(np.int64), n[at], self.totals[order])
+        return LanguageModel(self.languages, found.pop(0), found)
+
+
+def learn(
+    docs: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    max_words: int | None = None,
+    max_grams: int | None = None,
+    max_broadcast_rows: int | None = None,
+) -> LanguageModel | LanguageTables:
+    """Learn from every row of ``docs`` with a text and a language."""
+    limit = MAX_BROADCAST_ROWS if max_broadcast_rows is None else max_broadcast_rows
     with scratch(count_words(docs, text, lang)) as counts:
-        languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+        sums = counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()  # a row for each language
+        languages = sorted(r["lang"] for r in sums)
         if not languages:
-            return LanguageModel([], {}, {}, np.zeros((0, 0)))
-        place = {x: i for i, x in enumerate(languages)}
-        words = frequencies(_top(counts, "word", max_words), totals_of(counts))
-        # a gram's length is its order: only orders above one see the edge marks
-        cuts = F.flatten(F.array(*(_cuts(order) for order in range(1, MAX_GRAM + 1))))
-        parts = counts.select("lang", F.explode(cuts).alias("gram"), "n")
-        grams: dict[str, int] = {}
-        with scratch(parts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))) as all_grams:
-            for order in range(1, MAX_GRAM + 1):
-                of_order = all_grams.filter(F.length("gram") == order)
-                grams |= frequencies(_top(of_order, "gram", max_grams), totals_of(of_order))
-    return LanguageModel(languages, words, grams, np.array(scores))
+            return LanguageModel([], Frequencies(0.0), {})
+        numbers = F.create_map(*(F.lit(x) for pair in zip(languages, range(len(languages))) for x in pair))
+        words = counts.select(F.lit(0).alias("gram_order"), F.xxhash64("word").alias("key"), "lang", "n")
+        grams = count_grams(counts)
+        words = _most_frequent(words, ["key"], max_words, [])
+        grams = _most_frequent(grams, ["key"], max_grams, ["gram_order"])
+        rows = words.unionByName(grams).select("gram_order", "key", F.element_at(numbers, F.col("lang")).cast("int").alias("lang_no"), "n")
+        with scratch(rows) as held:
+            totals = np.ones((MAX_GRAM + 1, len(languages)))
+            size = 0
+            by_order = held.filter("gram_order > 0").groupBy("gram_order", "lang_no").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()
+            for r in by_order:
+                totals[r["gram_order"], r["lang_no"]] = r["n"]
+                size += r["rows"]
+            for r in sums:
+                totals[0, languages.index(r["lang"])] = r["n"]
+            size += held.filter("gram_order = 0").count()
+            if size <= limit:
+                return LanguageTables(languages, totals, held).local()
+            return LanguageTables(languages, totals, checkpointed(held))
 
 
 def predict(text: Column, model: LanguageModel, spark) -> Column:
-    """``struct<lang_pred, score>`` of a whole text; the model is broadcast."""
+    """``VERDICT`` of a whole text; the model is broadcast."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang_pred string, score double>")
+    @F.arrow_udf(VERDICT)
     def language_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         classify = Classifier(shared.value)
         for texts in batches:
-            found = [classify(text.as_py()) for text in texts]
-            columns = list(zip(*found)) or [(), ()]
-            types = (pa.string(), pa.float64())
-            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["lang_pred", "score"])
+            yield _verdicts([classify(text.as_py()) for text in texts])
         del classify
         release_memory()
 
     return language_of(text)
 
 
+def _verdicts(found: list[tuple[str, float, float]]) -> pa.Array:
+    columns = list(zip(*found)) or [(), (), ()]
+    types = (pa.string(), pa.float64(), pa.float64())
+    return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["lang_pred", "score", "known"])
+
+
+def _word_rows(texts: DataFrame, text: str) -> DataFrame:
+    """text_key, row_no, word, n: the distinct words of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            keys, rows, words, counts = [], [], [], []
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                row += 1
+                found = Counter(words_of(value.as_py()))
+                keys += [key] * len(found)
+                rows += [row] * len(found)
+                words += found
+                counts += found.values()
+            arrays = [pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), pa.array(words, pa.string()), pa.array(counts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["text_key", "row_no", "word", "n"])
+        release_memory()
+
+    rows = texts.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "text_key long, row_no long, word string, n long")
+
+
+def _unseen_grams(words: DataFrame) -> DataFrame:
+    """key of a word, gram_order, its n-grams' gram_key, and cuts, how many it has of that order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, words = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            for order in range(1, MAX_GRAM + 1):
+                grams, cuts = gram_keys(words, order)
+                columns = [np.repeat(keys, cuts), np.full(grams.size, order, np.int32), grams.view(np.int64), np.repeat(cuts, cuts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "gram_order", "gram_key", "cuts"])
+
+    return words.select("key", "word").mapInArrow(run, "key long, gram_order int, gram_key long, cuts long")
+
+
+def _scored_words(words: DataFrame, model: LanguageTables) -> DataFrame:
+    """key, scores (one for each language), seen of the distinct ``words`` (key, word)."""
+    size = len(model.languages)
+    totals = F.array(*(F.array(*map(F.lit, t)) for t in model.totals.tolist()))
+    logs = F.log(F.col("n") / F.element_at(F.element_at(totals, F.col("gram_order") + 1), F.col("lang_no") + 1))
+    floors = F.element_at(F.array(*(F.lit(floor_of(t)) for t in model.totals)), F.col("gram_order") + 1)
+    by_lang = [F.max(F.when(F.col("lang_no") == i, logs)).alias(f"l{i}") for i in range(size)]
+    rows = model.rows.groupBy("gram_order", "key").agg(*by_lang)
+    rows = rows.select("gram_order", "key", F.array(*(F.coalesce(f"l{i}", floors) for i in range(size))).alias("scores"))
+    rows = checkpointed(rows)
+    whole = rows.filter("gram_order = 0").select(F.col("key").alias("k"), "scores")
+    met = checkpointed(words.join(whole, F.col("key") == F.col("k"), "left").drop("k"))
+    unseen = met.filter("scores IS NULL")
+    grams = rows.filter("gram_order > 0").select(F.col("gram_order").alias("o"), F.col("key").alias("gram_key"), F.col("scores").alias("gram_scores"))
+    cut = _unseen_grams(unseen).join(grams, ["gram_key"]).filter("o = gram_order")
+    sums = [F.sum(F.col("gram_scores")[i]).alias(f"s{i}") for i in range(size)]
+    found = cut.groupBy("key", "gram_order").agg(F.count("*").alias("found"), F.first("cuts").alias("cuts"), *sums).filter("2 * found >= cuts")
+    down = F.lit(BACKOFF) * (F.lit(MAX_GRAM) - F.col("gram_order"))
+    means = F.array(*(F.col(f"s{i}") / F.col("found") - down for i in range(size))).alias("scores")
+    backed = found.select("key", "gram_order", means).groupBy("key").agg(F.max_by("scores", "gram_order").alias("b_scores"))
+    joined = unseen.select("key").join(backed.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left")
+    nothing = F.array(*(F.lit(0.0) for _ in range(size)))
+    backed = joined.select("key", F.coalesce("b_scores", nothing).alias("scores"), F.col("b_scores").isNotNull().alias("seen"))
+    return met.filter("scores IS NOT NULL").select("key", "scores", F.lit(True).alias("seen")).unionByName(backed)
+
+
+def identify(docs: DataFrame, model: LanguageModel | LanguageTables, text: str = "text", into: str = "language") -> DataFrame:
+    """``docs`` with column ``into``: the ``VERDICT`` of every row."""
+    spark = docs.sparkSession
+    if isinstance(model, LanguageModel):
+        return docs.withColumn(into, predict(F.col(text), model, spark))
+    size = len(model.languages)
+    rows = _word_rows(docs, text).withColumn("key", F.xxhash64("word"))
+    with scratch(rows.drop("word")) as held, scratch(rows.groupBy("key").agg(F.first("word").alias("word"), F.count("*").alias("texts"))) as words:
+        scored = checkpointed(_scored_words(words.select("key", "word"), model).withColumnRenamed("key", "k"))
+        # words that a thousandth of the texts hold: at most a thousand times the words of a text
+        texts = held.select("row_no").distinct().count()
+        often = F.broadcast(checkpointed(words.filter(F.col("texts") > max(1000, texts // 1000)).select(F.col("key").alias("k")).join(scored, "k")))
+        rare = scored.join(often.select("k"), "k", "left_anti")
+        parts = held.join(often, F.col("key") == F.col("k")).drop("k")
+        parts = parts.unionByName(held.join(often.select("k"), F.col("key") == F.col("k"), "left_anti").join(rare, F.col("key") == F.col("k")).drop("k"))
+        sums = [F.sum(F.col("scores")[i] * F.col("n")).alias(f"s{i}") for i in range(size)]
+        known = F.sum(F.when(F.col("seen"), F.col("n")).otherwise(0)) / F.sum("n")
+        totals = checkpointed(parts.groupBy("text_key", "row_no").agg(*sums, known.alias("known")))
+
+    @F.arrow_udf(VERDICT)
+    def verdict(totals: pa.Array, known: pa.Array) -> pa.Array:
+        table = totals.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        return _verdicts([(*verdict_of(model_languages, t), k) for t, k in zip(table, known.to_pylist())])
+
+    model_languages = model.languages
+    found = totals.groupBy("text_key").agg(*(F.min_by(f"s{i}", "row_no").alias(f"s{i}") for i in range(size)), F.min("known").alias("known"))
+    found = found.select("text_key", verdict(F.array(*(F.col(f"s{i}") for i in range(size))), F.col("known")).alias("found_verdict"))
+    without = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("known"))
+    keyed = docs.withColumn("veridra_text_key", F.xxhash64(text))
+    joined = keyed.join(found, F.col("veridra_text_key") == F.col("text_key"), "left")
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce("found_verdict", without).alias(into))
+
+
 def select_languages(docs: DataFrame, verdict: Column, keep: list[str] | None = None) -> DataFrame:
     """Rows whose verdict is a language (of ``keep`` if given); ``und`` goes."""
     accepted = verdict != F.lit(UNKNOWN)

@@ -87,9 +87,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train on three of four folds and predict the language of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = langid.train(docs.filter(fold(F.col("doc_id"), 4) != 2))
-    found = docs.select("doc_id", langid.predict(F.col("text"), model, spark).alias("found"))
-    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "found.lang_pred", "found.score")
+    model = langid.learn(docs.filter(fold(F.col("doc_id"), 4) != 2))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "language.lang_pred", "language.score")
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
