@@ -44,11 +44,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """License of every document, its place being source/language/id."""
+    """License of every document. The table has no paths, so each document is a directory of its own and inherits nothing."""
     docs = table(spark, sf_dir, "documents")
-    parts = (F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
-    files = docs.select("doc_id", F.concat_ws("/", *parts).alias("path"), "text")
-    return licenses.inherit(licenses.scan(files, keep=("doc_id",)))
+    path = F.concat(F.coalesce("source", F.lit("-")), F.lit("/"), F.col("doc_id").cast("string"), F.lit("/text"))
+    return licenses.inherit(licenses.scan(docs.select("doc_id", path.alias("path"), "text"), keep=("doc_id",)))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
