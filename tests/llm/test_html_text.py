@@ -1,5 +1,6 @@
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,80 @@ def test_wide_cells_are_not_padded_without_bound():
     assert len(text) < 500_000
 
 
+def test_tables_are_aligned_however_wide():
+    long = "x" * 300
+    rows = [line.split() for line in render(f"<table><tr><td>{long}<td>b<td>c<tr><td>a<td>{long}<td>d<tr><td>e<td>f<td>g</table>")[1].split("\n")]
+    text = render(f"<table><tr><td>{long}<td>b<td>c<tr><td>a<td>{long}<td>d<tr><td>e<td>f<td>g</table>")[1].split("\n")
+    assert rows == [[long, "b", "c"], ["a", long, "d"], ["e", "f", "g"]]
+    assert [text[0].index(" b"), text[1].index(" xxx"), text[2].index(" f")] == [301] * 3
+    assert len({line.rindex(cell) for line, cell in zip(text, "cdg")}) == 1
+    spanned = render("<table><tr><td rowspan=3000>r<td>a" + "<tr><td>b" * 2999 + "<tr><td>last</table>")[1].split("\n")
+    assert spanned[0] == "r     a" and spanned[2999] == "      b" and spanned[3000] == "last"
+
+
+def test_drawings_and_formulas_show_their_text():
+    page = "<title>T</title><p>a <math><mi>x</mi><mo>+</mo><semantics><annotation>no</annotation></semantics></math> b</p>"
+    page += "<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>label</text><text>other</text></svg><map><p>m</map>"
+    assert render(page) == ("T", "a x+ b\n\nlabel\nother\n\nm")
+    assert render("<svg><title>drawing</title></svg><p>x")[0] == ""
+
+
+def random_page(chooser, depth=0):
+    """(HTML, lines) of a random page: the lines are set from the tree, not from the HTML."""
+
+    def words(n=3):
+        return " ".join(f"w{int(chooser.integers(100))}" for _ in range(int(chooser.integers(1, n + 1))))
+
+    def inline():
+        text = words()
+        return text.replace(" ", chooser.choice([" ", "\n  ", " <b>", "<i> "]) if chooser.random() < 0.3 else " ", 1), text
+
+    html, blocks = [], []
+    for _ in range(int(chooser.integers(1, 5))):
+        kind = chooser.choice(["p", "h2", "div", "ul", "ol", "table", "quote"] if depth < 2 else ["p", "div"])
+        if kind in ("p", "h2", "div"):
+            source, text = inline()
+            html.append(f"<{kind}>{source}</b></i></{kind}>" if kind != "p" or chooser.random() < 0.5 else f"<p>{source}</b></i>")
+            blocks.append(([text], kind != "div"))
+        elif kind in ("ul", "ol"):
+            start = int(chooser.integers(1, 5))
+            items, lines = [], []
+            for i in range(int(chooser.integers(1, 4))):
+                lead = "- " if kind == "ul" else f"{start + i}. "
+                own = words()
+                inner_html, inner = "", []
+                if depth == 0 and chooser.random() < 0.3:
+                    nested = [words() for _ in range(2)]
+                    inner_html = "<ul>" + "".join(f"<li>{n}" for n in nested) + "</ul>"
+                    inner = [" " * len(lead) + "- " + n for n in nested]
+                items.append(f"<li>{own}{inner_html}" + chooser.choice(["", "</li>"]))
+                lines += [lead + own, *inner]
+            html.append(f"<{kind}{'' if kind == 'ul' else f' start={start}'}>{''.join(items)}</{kind}>")
+            blocks.append((lines, True))
+        elif kind == "table":
+            rows = [[words(2) for _ in range(3)] for _ in range(int(chooser.integers(1, 4)))]
+            html.append("<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in rows) + "</table>")
+            wide = [max(len(r[c]) for r in rows) for c in range(3)]
+            blocks.append((["  ".join(c.ljust(w) for c, w in zip(r, wide)).rstrip() for r in rows], True))
+        else:
+            inner_html, inner = random_page(chooser, depth + 1)
+            html.append(f"<blockquote>{inner_html}</blockquote>")
+            blocks.append((["  " + line if line else "" for line in inner], True))
+    out = []
+    for k, (lines, apart) in enumerate(blocks):
+        if k and (apart or blocks[k - 1][1]):
+            out.append("")
+        out += lines
+    return "".join(html), out
+
+
+def test_layout_of_random_pages():
+    chooser = np.random.default_rng(12)
+    for _ in range(400):
+        html, lines = random_page(chooser)
+        assert render(html)[1].split("\n") == lines, html
+
+
 def test_columns(spark):
     rows = spark.createDataFrame([(1, "<p>a", "c"), (2, None, "c"), (2, "", None), (None, "<p>b", "c")], "page_id long, html string, text string")
     found = rows.withColumn("r", html_text.extract(F.col("html"))).collect()

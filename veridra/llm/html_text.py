@@ -5,7 +5,8 @@ authors leave out implied, and drives a renderer: blocks stand on lines of their
 own, paragraphs and the like are set off by a blank line, list items carry their
 bullet or number and indent what they hold, and the cells of a table are aligned in
 columns. All visible text is emitted, navigation and footers included. Not visible
-are scripts, styles, templates and embedded media, elements with ``hidden``,
+are scripts, styles, templates and embedded media (the text of drawings and formulas
+is visible, their descriptions and annotations are not), elements with ``hidden``,
 ``display: none`` or ``visibility: hidden`` (in their style attribute or by a rule
 of the page with simple selectors), closed ``details`` and ``dialog``, hidden
 inputs, and the options of a drop-down list that are not selected.
@@ -32,21 +33,24 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes title textarea".split())
 UNSEEN = frozenset(
-    "script style template title iframe noembed noframes object video audio canvas svg math datalist map picture".split()
+    "script style template title iframe noembed noframes object video audio canvas datalist picture "
+    "defs desc metadata symbol clippath mask pattern marker annotation annotation-xml".split()
 )
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre listing xmp ul ol dir menu dl hr figure fieldset table form".split())
 LINES = frozenset(
     "address article aside body center details dialog div dd dt figcaption footer header hgroup html legend li main nav "
-    "optgroup option search section summary caption tr thead tbody tfoot td th".split()
+    "optgroup option search section summary caption tr thead tbody tfoot td th text".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CLOSES_P = (PARAGRAPHS | LINES) - {"body", "html", "caption", "tr", "thead", "tbody", "tfoot", "td", "th", "option", "optgroup", "legend"}
+CLOSES_P = (PARAGRAPHS | LINES) - {"body", "html", "caption", "tr", "thead", "tbody", "tfoot", "td", "th", "option", "optgroup", "legend", "text"}
 WALLS = frozenset("table td th caption template button object".split())
 CELLS, GROUPS = frozenset(("td", "th")), frozenset(("thead", "tbody", "tfoot"))
 
-#: columns are padded to this width at most, so that one long cell does not widen every row
-MAX_PAD = 60
-MAX_SPAN = 1000
+#: blanks that align a table: at most this many, or as many for each character of its text. Columns are as wide as their
+#: widest cell; where that took more blanks, wide cells stand out of columns as wide as can be.
+PADDING, PADDING_SHARE = 1 << 18, 2
+#: fixed values: what the HTML standard allows cells to span, columns and rows
+MAX_SPANS = (1000, 65_534)
 INDENT = "  "
 
 # a quote counts where a value begins; repetition never backs up, so no page takes quadratic time
@@ -164,9 +168,25 @@ class Table:
         self.rows: list[list[tuple[list[str], int, int]]] = []
         self.caption: list[str] = []
 
+    def _widths(self, cells: dict[int, Counter]) -> dict[int, int]:
+        """Widths of the columns from how many of their cells have which width."""
+        rows = len(self.rows)
+        text = sum(width * n for of in cells.values() for width, n in of.items())
+        most = max(PADDING, PADDING_SHARE * text)
+
+        def blanks(limit: int) -> int:
+            return sum(rows * min(limit, max(of)) - sum(min(limit, w) * n for w, n in of.items()) for of in cells.values())
+
+        low, high = 0, max((max(of) for of in cells.values()), default=0)
+        while low < high:  # the widest limit that keeps within the blanks; nearly always none is needed
+            middle = high if low == 0 and blanks(high) <= most else (low + high + 1) // 2
+            low, high = (middle, high) if blanks(middle) <= most else (low, middle - 1)
+        return {column: min(low, max(of)) for column, of in cells.items()}
+
     def lines(self) -> list[str]:
         """The cells in aligned columns; what spans columns widens none."""
-        placed, taken, widths = [], {}, Counter()
+        placed, taken = [], {}
+        held: dict[int, Counter] = {}
         for row in self.rows:
             column, cells = 0, []
             for lines, across, down in row:
@@ -174,25 +194,28 @@ class Table:
                     column += 1
                 cells.append((column, lines))
                 if across == 1:
-                    widths[column] = max(widths[column], min(MAX_PAD, max(map(shown_width, lines), default=0)))
+                    held.setdefault(column, Counter())[max(map(shown_width, lines), default=0)] += 1
                 if down > 1:
                     taken |= dict.fromkeys(range(column, column + across), down)
                 column += across
             taken = {c: n - 1 for c, n in taken.items() if n > 1}
             placed.append(cells)
+        widths = self._widths(held)
         starts, at = {}, 0
         for column in range(max(widths, default=-1) + 1):
             starts[column] = at
-            at += widths[column] + (2 if widths[column] else 0)
+            at += widths.get(column, 0) + (2 if widths.get(column) else 0)
         out = list(self.caption)
         for cells in placed:
             for k in range(max((len(lines) for _, lines in cells), default=0)):
-                line = ""
+                line, reached = [], 0
                 for column, lines in cells:
                     if k < len(lines) and lines[k]:
-                        pad = starts.get(column, at) - shown_width(line) if column else 0
-                        line += " " * max(pad, 2 if line else 0) + lines[k]
-                out.append(line)
+                        pad = starts.get(column, at) - reached if column else 0
+                        blank = max(pad, 2 if line else 0)
+                        line.append(" " * blank + lines[k])
+                        reached += blank + shown_width(lines[k])
+                out.append("".join(line))
         return out
 
 
@@ -372,7 +395,7 @@ class Page:
             self.tables[-1].rows.append([])
         elif (tag in CELLS or tag == "caption") and self.tables:
             spans = [attrs.get(k, "") for k in ("colspan", "rowspan")]
-            element.saved = [min(MAX_SPAN, max(1, int(s))) if re.fullmatch(r"\d{1,9}", s) else 1 for s in spans]
+            element.saved = [min(most, max(1, int(s))) if re.fullmatch(r"\d{1,9}", s) else 1 for s, most in zip(spans, MAX_SPANS)]
             self.flows.append(flow)
             self.flow = Flow()
         elif tag == "q":
@@ -488,7 +511,7 @@ def render(page: str | None) -> tuple[str, str]:
         if tag in RAW:
             close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
             raw = page[at : close.start() if close else end]
-            if tag == "title" and not built.title:
+            if tag == "title" and not built.title and not built.count["svg"]:
                 built.title = _SPACE.sub(" ", unescape(raw)).strip()
             elif tag in ("textarea", "xmp"):
                 built.text(raw if tag == "textarea" else raw.replace("&", "&amp;"))

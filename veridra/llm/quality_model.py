@@ -38,8 +38,6 @@ _RUNS = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+").findall
 _SAME = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-#: longer runs are hashed by their first characters' worth of pieces
-RUN_CHARS = 64
 CACHE_RUNS = 150_000
 
 
