@@ -391,6 +391,9 @@ def test_command_line(spark, tmp_path, capsys):
     lines = [x for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
     assert [json.loads(x)["full_name"] for x in lines] == ["Ann Other"]
     assert spark.read.parquet(str(tmp_path / "out/merged")).filter("field = 'skills'").count() >= 2
+    written = {p.name for p in (tmp_path / "out").iterdir()}
+    assert written == {"uploaded_csv", "uploaded_github", "uploaded_resumes", *reports.STAGES, "report"}
+    assert spark.read.parquet(str(tmp_path / "out/report")).first()["skills"] >= 2
     assert main(["--config", str(tmp_path / "none.json")]) == 2
 
 
@@ -411,3 +414,30 @@ def test_skills_found_in_one_search_equal_a_search_for_each(spark):
     for text, skills in zip(texts, found):
         wanted = None if text is None else [k for k in resume_text.SKILLS if re.search(rf"\b{re.escape(k)}\b", text.lower())]
         assert skills == wanted
+
+
+def test_normalisation_shuffles_nothing(spark):
+    from veridra.operators import normalize
+
+    rows = [("K", 0, i, "skills" if i % 50 == 0 else "headline", f"ml {i}", "s", 0.9) for i in range(200)]
+    plan = normalize.normalize(evidence(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_names_with_a_common_beginning_pair_nobody_else(spark):
+    """Containment by the rarest piece gives what all pairs give."""
+    left = [(i, f"customer {i:03}") for i in range(60)] + [(60, "cu"), (61, ""), (62, None), (63, "r 01")]
+    right = [(i, f"the customer {i:03} of town") for i in range(0, 80, 2)] + [(90, "customer"), (91, "x")]
+    names = ("left_key int, their_name string", "right_key int, row_name string")
+    found = match.containing(spark.createDataFrame(left, names[0]), spark.createDataFrame(right, names[1]), "their_name", "row_name")
+    wanted = {(a, b) for a, s in left for b, t in right if s and t and (s in t or t in s)}
+    assert {tuple(r) for r in found.select("left_key", "right_key").collect()} == wanted
+
+
+def test_work_blocks_of_long_texts(spark):
+    lines = [f"line {i}" if i % 5 else f"Firm{i} - Job Jan 2019 - Present" for i in range(2, 2000)]
+    texts = spark.createDataFrame([("\n".join(lines),), ("",), (None,), ("only\nlines",)], "t string")
+    found = [r[0] for r in texts.select(resume_text.experience_blocks(F.col("t"))).collect()]
+    assert len(found[0]) == 400 and found[0][0]["company"] == "line 2" and found[0][1]["company"] == "Firm5"
+    assert found[0][1]["summary"] == "line 6\nline 7\nline 8\nline 9"
+    assert found[1] == [] and found[2] is None and found[3][0]["summary"] == "lines"

@@ -57,6 +57,18 @@ def test_dates(spark):
     assert column(spark, values, contact.to_month) == wanted
 
 
+def test_dates_among_words(spark):
+    values = ["since March 2019", "17 Sept. 2020", "2018, Dec.", "summer 2017", "17/05/2020", "05.2021", "marketing 2016", "room 12345", "in May"]
+    wanted = ["2019-03", "2020-09", "2018-12", "2017-01", "2020-05", "2021-05", "2016-01", "room 12345", "in May"]
+    assert column(spark, values, contact.to_month) == wanted
+
+
+def test_all_countries(spark):
+    shown = ["Türkiye", "turkey", "Côte d’Ivoire", "BRA", "nzl", "South Korea", "U.K.", "Trinidad and Tobago", "bosnia & herzegovina"]
+    assert column(spark, shown, country.to_alpha2) == ["TR", "TR", "CI", "BR", "NZ", "KR", "GB", "TT", "BA"]
+    assert len(set(country.codes().values())) > 240
+
+
 def test_email_and_phone_forms(spark):
     assert column(spark, ["a.b@c.org", "a@b", "@c.org", None], contact.is_email) == [True, False, False, False]
     assert column(spark, ["+14155552671", "14155552671", "+0123", None], contact.is_e164) == [True, False, False, False]

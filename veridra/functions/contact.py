@@ -50,22 +50,36 @@ def to_e164(text: Column, region: str = "US") -> Column:
     return F.when(size.between(3, 17) & ~letters, found)
 
 
-#: fixed values: forms of dates that are read, most specific first
+#: fixed values: forms of dates that are read, most specific first; months come before days where both could be meant
 DATE_FORMS = (
-    "yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy",
-    "MMM yyyy", "MMMM yyyy", "yyyy-MM", "yyyy/MM", "MM/yyyy", "yyyy",
+    "yyyy-MM-dd", "yyyy/MM/dd", "yyyy.MM.dd", "MM/dd/yyyy", "dd/MM/yyyy", "MM-dd-yyyy", "dd-MM-yyyy", "MM.dd.yyyy", "dd.MM.yyyy", "MMM d, yyyy",
+    "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM yyyy", "MMMM yyyy", "yyyy-MM", "yyyy/MM", "MM/yyyy", "MM-yyyy", "MM.yyyy", "yyyy",
 )
+#: fixed values: English names of months
+MONTH = (
+    r"(?i)\b(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)\b"
+)
+YEAR = r"(?<!\d)((?:19|20)\d{2})(?!\d)"
+
+
+def _month_within(text: Column) -> Column:
+    """Month and year that stand somewhere in a text; its year's January where no month does."""
+    names = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+    numbers = F.create_map(*(F.lit(x) for i, n in enumerate(names) for x in (n, f"{i + 1:02}")))
+    named = F.try_element_at(numbers, F.lower(F.substring(F.regexp_extract(text, MONTH, 1), 1, 3)))
+    year = F.regexp_extract(text, YEAR, 1)
+    return F.when(year != "", F.concat(year, F.lit("-"), F.coalesce(named, F.lit("01"))))
 
 
 def to_month(text: Column) -> Column:
     """``YYYY-MM``; null for an ongoing or absent date, the stripped text if unreadable.
 
-    A year alone stands for its January.
+    Words beside a date are passed over. A year alone stands for its January.
     """
     clean = strip(text)
-    proper = F.initcap(F.regexp_replace(F.regexp_replace(clean, r"\bSept\b", "Sep"), r"\.", ""))
+    proper = F.initcap(F.regexp_replace(F.regexp_replace(clean, r"\bSept\b", "Sep"), r"(?<=[A-Za-z])\.", ""))
     read = F.coalesce(*(F.try_to_timestamp(proper, F.lit(form)) for form in DATE_FORMS))
-    month = F.coalesce(F.date_format(read, "yyyy-MM"), clean)
+    month = F.coalesce(F.date_format(read, "yyyy-MM"), _month_within(clean), clean)
     ongoing = F.lower(text).isin("present", "current", "now")
     return F.when(is_given(text) & ~ongoing, month)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,20 +13,31 @@ from .text import fold_key, strip
 
 #: fixed values: codes that output options spell out in full
 FULL_NAMES = {"US": "United States", "IN": "India", "CA": "Canada", "GB": "United Kingdom"}
-#: fixed values: names and other codes of common countries by alpha-2 code
-ISO_NAMES = {
-    "US": "united states|united states of america|usa|u.s.|u.s.a.", "IN": "india|ind", "CA": "canada|can",
-    "GB": "united kingdom|great britain|england|uk|gbr", "DE": "germany|deu", "FR": "france|fra", "ES": "spain|esp",
-    "IT": "italy|ita", "NL": "netherlands|nld", "AU": "australia|aus", "JP": "japan|jpn", "CN": "china|chn",
-    "BR": "brazil|bra", "MX": "mexico|mex", "SG": "singapore|sgp", "CH": "switzerland|che", "SE": "sweden|swe",
-    "IE": "ireland|irl", "PL": "poland|pol", "PT": "portugal|prt",
+#: fixed values: names that are in use beside those of the Java runtime, by alpha-2 code
+OTHER_NAMES = {
+    "US": "united states of america|u.s.|u.s.a.|america", "GB": "great britain|england|scotland|wales|uk|u.k.", "NL": "holland|the netherlands",
+    "CZ": "czech republic", "TR": "turkey|türkiye", "KR": "south korea|republic of korea", "KP": "north korea", "RU": "russian federation", "VN": "viet nam",
+    "IR": "iran, islamic republic of", "SY": "syrian arab republic", "LA": "lao", "CI": "ivory coast", "CV": "cape verde", "MM": "burma", "SZ": "swaziland",
 }
 
 
+@cache
+def codes() -> dict[str, str]:
+    """Alpha-2 codes by name, alpha-2 and alpha-3 code in lower case: the ISO 3166 table of the Java runtime."""
+    context = SparkContext._active_spark_context
+    found = {name: code for code, names in OTHER_NAMES.items() for name in names.split("|")}
+    locale = context._jvm.java.util.Locale
+    for code in locale.getISOCountries():
+        place = locale("", code)
+        name = place.getDisplayCountry(locale.ENGLISH).lower()
+        plain = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode()
+        found |= {name: code, plain: code, name.replace("&", "and"): code, code.lower(): code, place.getISO3Country().lower(): code}
+    return found
+
+
 def to_alpha2(name: Column) -> Column:
     """The code of a country name; the stripped name where it is unknown."""
-    codes = {c.lower(): c for c in ISO_NAMES} | {n: c for c, names in ISO_NAMES.items() for n in names.split("|")}
-    table = F.create_map(*(F.lit(x) for pair in codes.items() for x in pair))
+    table = F.create_map(*(F.lit(x) for pair in sorted(codes().items()) for x in pair))
     return F.coalesce(F.try_element_at(table, fold_key(name)), strip(name))
 
 

@@ -7,6 +7,8 @@ differ by half or more, of the shorter string with the windows of the longer.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,18 +88,24 @@ def weighted_ratio(a: str | None, b: str | None) -> float:
     return max(best, TOKEN_WEIGHT * weight * tokens)
 
 
+#: texts whose best choice a worker remembers
+CACHE_TEXTS = 100_000
+
+
 def best_of(text: Column, choices: list[str]) -> Column:
-    """``struct<choice, score>``: the first best choice for a text."""
+    """``struct<choice, score>``: the first best choice for a text; each worker scores a spelling once."""
 
     @F.pandas_udf("struct<choice string, score double>")
-    def best_choice(texts: pd.Series) -> pd.DataFrame:
-        known: dict[str, tuple[str, float]] = {}
-        for value in texts.dropna().unique():
-            scores = [weighted_ratio(value, c) for c in choices]
-            top = max(scores, default=0.0)
-            known[value] = (choices[scores.index(top)], top) if top else (None, 0.0)
-        rows = [known.get(t, (None, None)) for t in texts]
-        return pd.DataFrame(rows, columns=["choice", "score"])
+    def best_choice(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple[str | None, float]] = {}
+        for texts in batches:
+            if len(known) > CACHE_TEXTS:
+                known.clear()
+            for value in set(texts.dropna().unique()).difference(known):
+                scores = [weighted_ratio(value, c) for c in choices]
+                top = max(scores, default=0.0)
+                known[value] = (choices[scores.index(top)], top) if top else (None, 0.0)
+            yield pd.DataFrame([known.get(t, (None, None)) for t in texts], columns=["choice", "score"])
 
     return best_choice(text)
 

@@ -3,8 +3,9 @@
 A résumé matches a row by e-mail address, or if one of the two names contains the
 other; a web profile by names, or if the row's name contains its user name. The
 first matching row counts. Addresses are joined by equality. A name that contains
-another also contains its first three characters, so names are joined on those and
-containment is checked after; all pairs are never compared.
+another also contains all its pieces of three characters, so names are joined on the
+piece of the shorter one that fewest others hold, and containment is checked after: a
+beginning that many share pairs nobody.
 """
 
 from __future__ import annotations
@@ -23,22 +24,22 @@ def _pieces(text: Column, size: Column) -> Column:
     return F.array_distinct(F.transform(spots, lambda i: F.substring(text, i, size)))
 
 
-def _first_piece(text: Column) -> Column:
-    return F.substring(text, 1, PIECE)
-
-
 def containing(left: DataFrame, right: DataFrame, of_left: str, of_right: str) -> DataFrame:
     """left_key, right_key of rows whose texts contain one another, either way.
 
-    The first ``PIECE`` characters of the text contained (all, if it is shorter) are a
-    piece of the one that contains it.
+    A text contained shares all its pieces of ``PIECE`` characters (itself, if it is
+    shorter) with the one that contains it; the rarest of them is the key of the join.
     """
 
     def one_way(short: DataFrame, long: DataFrame, s: str, t: str, s_key: str, t_key: str) -> DataFrame:
-        heads = short.filter(is_given(F.col(s))).select(s_key, s, _first_piece(F.col(s)).alias("piece"))
         cut = F.array_distinct(F.flatten(F.transform(F.array(*(F.lit(n) for n in range(1, PIECE + 1))), lambda n: _pieces(F.col(t), n))))
         bodies = long.filter(is_given(F.col(t))).select(t_key, t, F.explode(cut).alias("piece"))
-        return heads.join(bodies, "piece").filter(F.contains(F.col(t), F.col(s))).select(s_key, t_key)
+        held = bodies.groupBy("piece").agg(F.count("*").alias("holders"))
+        own = _pieces(F.col(s), F.least(F.lit(PIECE), F.length(s)))
+        heads = short.filter(is_given(F.col(s))).select(s_key, s, F.explode(own).alias("piece")).join(held, "piece")
+        rarest = heads.groupBy(s_key, s).agg(F.min(F.struct("holders", "piece")).alias("rarest"))
+        rarest = rarest.select(s_key, s, F.col("rarest.piece").alias("piece"))
+        return rarest.join(bodies, "piece").filter(F.contains(F.col(t), F.col(s))).select(s_key, t_key)
 
     forth = one_way(left, right, of_left, of_right, "left_key", "right_key")
     back = one_way(right, left, of_right, of_left, "right_key", "left_key")

@@ -46,31 +46,34 @@ def normalize_education(study: Column) -> Column:
     ).cast(EDUCATION)
 
 
+def normalize_skill(key: Column, best: Column) -> tuple[Column, Column]:
+    """Canonical skill and label for a folded ``key``, ``best`` being its best canonical skill."""
+    aliases = F.create_map(*(F.lit(x) for pair in SKILL_ALIASES.items() for x in pair))
+    alias = F.try_element_at(aliases, key)
+    near = best["score"] >= SKILL_SCORE
+    # a label shows the score rounded half to even
+    label = F.concat(F.lit("Fuzzy_Match_"), F.bround(best["score"], 0).cast("int").cast("string"), F.lit("pct"))
+    canonical = F.coalesce(alias, F.when(near, best["choice"]), title(key))
+    return canonical, F.when(alias.isNotNull(), "Canonical_Alias_Map").when(near, label).otherwise("TitleCase_Fallback")
+
+
 def skill_table(skills: DataFrame) -> DataFrame:
     """skill_key, canonical, label of the distinct lower-case ``skill_key`` values."""
-    aliases = F.create_map(*(F.lit(x) for pair in SKILL_ALIASES.items() for x in pair))
     scored = skills.select("skill_key").distinct().withColumn("best", fuzzy.best_of(F.col("skill_key"), CANONICAL_SKILLS))
-    alias = F.try_element_at(aliases, F.col("skill_key"))
-    near = F.col("best.score") >= SKILL_SCORE
-    # a label shows the score rounded half to even
-    label = F.concat(F.lit("Fuzzy_Match_"), F.bround("best.score", 0).cast("int").cast("string"), F.lit("pct"))
-    return scored.select(
-        "skill_key",
-        F.coalesce(alias, F.when(near, F.col("best.choice")), title(F.col("skill_key"))).alias("skill_canonical"),
-        F.when(alias.isNotNull(), "Canonical_Alias_Map").when(near, label).otherwise("TitleCase_Fallback").alias("skill_label"),
-    )
+    canonical, label = normalize_skill(F.col("skill_key"), F.col("best"))
+    return scored.select("skill_key", canonical.alias("skill_canonical"), label.alias("skill_label"))
 
 
 def normalize(evidence: DataFrame, default_region: str = "US") -> DataFrame:
     """``evidence`` with ``canonical`` and ``norms`` set.
 
-    Skills are scored once for each distinct spelling and joined back; everything
-    else is an expression. Empty values stay as they are.
+    Nothing is shuffled: workers score each spelling of a skill once, everything else is
+    an expression. Empty values stay as they are.
     """
     text = F.col("raw.text")
     key = F.when((F.col("field") == "skills") & (text != ""), fold_key(text))
-    keyed = evidence.withColumn("skill_key", key)
-    joined = keyed.join(skill_table(keyed.filter("skill_key IS NOT NULL")), "skill_key", "left")
+    joined = evidence.withColumn("skill_key", key).withColumn("skill_best", fuzzy.best_of(F.col("skill_key"), CANONICAL_SKILLS))
+    skill_canonical, skill_label = normalize_skill(F.col("skill_key"), F.col("skill_best"))
 
     phone = to_e164(strip(text), default_region)
     given = text != ""
@@ -83,7 +86,7 @@ def normalize(evidence: DataFrame, default_region: str = "US") -> DataFrame:
             F.coalesce(phone, strip(text)),
             F.when(phone.isNotNull(), "E164_Format").otherwise("Parse_Attempt_Failed"),
         ),
-        (F.col("skill_key").isNotNull(), "text", F.col("skill_canonical"), F.col("skill_label")),
+        (F.col("skill_key").isNotNull(), "text", skill_canonical, skill_label),
         (F.col("raw.experience").isNotNull(), "experience", normalize_experience(F.col("raw.experience")), F.lit("Experience_Standardization")),
         (F.col("raw.education").isNotNull(), "education", normalize_education(F.col("raw.education")), F.lit("Education_Standardization")),
     ]

@@ -42,6 +42,7 @@ class Run:
     projected: DataFrame
     validated: DataFrame
     settings: dict = field(default_factory=dict)
+    sources: Sources = field(default_factory=Sources)
 
     def payloads(self) -> DataFrame:
         return projection.payload(self.projected, self.settings)
@@ -49,8 +50,15 @@ class Run:
     def extraction_report(self) -> DataFrame:
         return reports.extraction(self.extracted)
 
+    def report(self) -> DataFrame:
+        return reports.run_report(self.profiles, self.validated)
+
     def stages(self) -> dict[str, DataFrame]:
-        return {name: getattr(self, name) for name in reports.STAGES}
+        """What was given, each step of the run, and the report on it."""
+        given = {f"uploaded_{name}": getattr(self.sources, name) for name in reports.UPLOADS if getattr(self.sources, name) is not None}
+        if "uploaded_ats" in given:  # as text: a column format need not know VARIANT
+            given["uploaded_ats"] = given["uploaded_ats"].withColumn("ats", F.to_json("ats"))
+        return given | {name: getattr(self, name) for name in reports.STAGES} | {"report": self.report()}
 
 
 def gather(spark: SparkSession, sources: Sources, candidate_id: str | None = None, resumes_need_csv: bool = True, every: bool = True) -> DataFrame:
@@ -136,7 +144,7 @@ def run(spark: SparkSession, sources: Sources, settings: dict | None = None, can
     normalized, merged, scored = consolidate(extracted, now, default_region)
     profiles = rules.apply(profile.assemble(scored), settings.get("business_rules") or {})
     projected = projection.project(profiles, settings)
-    return Run(extracted, normalized, merged, scored, profiles, projected, validation.validate(projected, settings), settings)
+    return Run(extracted, normalized, merged, scored, profiles, projected, validation.validate(projected, settings), settings, sources)
 
 
 def reproject(profiles: DataFrame, settings: dict) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import SCALARS, display
 
+UPLOADS = ("csv", "ats", "github", "resumes")
 STAGES = ("extracted", "normalized", "merged", "scored", "profiles", "projected", "validated")
 
 
@@ -37,6 +38,13 @@ def summary(profiles: DataFrame) -> DataFrame:
     return profiles.select("candidate_id", *sizes, *(F.size(f).alias(f) for f in ("emails", "phones", "skills", "experience", "education")))
 
 
+def run_report(profiles: DataFrame, validated: DataFrame) -> DataFrame:
+    """One row for each candidate: what its profile holds and how it was judged."""
+    judged = validated.select("candidate_id", "is_valid", F.size("errors").alias("errors_count"), F.size("warnings").alias("warnings_count"))
+    sums = profiles.select("candidate_id", "overall_confidence", "missing_fields", "rules_failed")
+    return summary(profiles).join(sums, "candidate_id").join(judged, "candidate_id")
+
+
 def write_stages(stages: dict[str, DataFrame], folder: str, kind: str = "parquet") -> None:
     """Each named stage as a table below ``folder``, replacing an earlier run's."""
     for name, frame in stages.items():

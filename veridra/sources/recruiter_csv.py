@@ -13,16 +13,17 @@ COLUMNS = (
 ).split()
 
 
-def read(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read(spark: SparkSession, paths: str | list[str], line_breaks: bool = True) -> DataFrame:
     """All rows as strings, with their file and a number that rises in file order.
 
     Columns are matched by header; absent ones are null. Quoted line breaks are
-    part of a value, so a file is one task.
+    part of a value, so a file is one task; where values hold none, ``line_breaks`` =
+    False lets a large file be split.
     """
     paths = paths.split(",") if isinstance(paths, str) else list(paths)
     rows = None
     for path in paths:
-        one = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", False).csv(path.strip())
+        one = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"').option("inferSchema", False).csv(path.strip())
         one = one.select(*((F.col(f"`{c}`") if c in one.columns else F.lit(None)).cast("string").alias(c) for c in COLUMNS))
         one = one.withColumn("csv_path", F.lit(path.strip())).withColumn("file_ord", F.lit(0 if rows is None else rows[1]))
         rows = (one, 1) if rows is None else (rows[0].unionByName(one), rows[1] + 1)
