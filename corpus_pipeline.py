@@ -28,9 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     ship(spark)
     model = langid.learn(docs.filter(fold(F.col("doc_id"), 4) != 2))
-    found = langid.identify(docs, model, into="found_language")
-    known = found.filter(F.col("found_language.known") > 0)
-    return langid.select_languages(known, F.col("found_language.lang_pred")).select(*(f"`{c}`" for c in docs.columns))
+    return langid.select_texts(docs, model)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

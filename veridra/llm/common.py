@@ -38,7 +38,7 @@ def scratch(df: DataFrame) -> Iterator[DataFrame]:
     """``df`` as a Parquet table in the shared folder, gone when the block ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/veridra-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     try:
         yield spark.read.schema(df.schema).parquet(path)
     finally:

@@ -10,7 +10,9 @@ counts there as half a sighting, the same for all languages.
 Every word and n-gram of the training texts is part of the model: a table of 64-bit keys
 and their frequencies by language. Up to ``MAX_BROADCAST_ROWS`` rows (a key in a
 language, 16 bytes each) it travels to the workers; a larger one stays a table, and
-``identify`` joins it with the distinct words of the texts. Both give the same verdicts.
+``identify`` joins its words with the distinct words of chunks of texts (and its n-grams with
+unseen words, where they alone are too many). All ways give the same verdicts;
+scores that are joined are rounded to single precision.
 ``max_words`` and ``max_grams`` of ``learn`` make a smaller model of the most frequent keys, if
 that is wanted.
 
@@ -27,6 +29,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass, field
 from functools import partial
 
@@ -39,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, release_memory, scratch
+from .common import PARTITION_BYTES, checkpointed, release_memory, scratch, shuffle_width
 from .splitting import is_plain, plain_pattern
 
 MAX_GRAM, BACKOFF = 4, 1.0
@@ -51,6 +54,10 @@ _WORDS = regex.compile(r"\p{L}+(?:\p{M}+\p{L}*)*").findall
 _PLAIN_WORDS = re.compile(plain_pattern(r"\p{L}+")).findall
 #: words that a worker counts before it hands the counts on, words that it remembers, and n-grams that it counts at once
 FLUSH_WORDS, CACHE_WORDS, FLUSH_GRAMS = 150_000, 150_000, 2_000_000
+#: words of a chunk of texts, bytes of text for a span of words, and spans at most
+CHUNK_WORDS, SPAN_BYTES, MAX_SPANS = 200_000, 32 << 20, 4096
+#: keys of texts that are broadcast at most, 8 bytes each
+MAX_BROADCAST_KEYS = 1_000_000
 #: words of a part of a text, and of a batch of new words, that are scored at once
 PART_WORDS, NEW_WORDS = 150_000, 4096
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -287,11 +294,14 @@ class LanguageTables:
     languages: list[str]
     totals: np.ndarray  # by order and language
     rows: DataFrame
+    gram_rows: int
+    limit: int  # rows that are broadcast
 
-    def local(self) -> LanguageModel:
-        """The model in memory."""
+    def local(self, words: bool = True) -> LanguageModel:
+        """The model in memory; without ``words``, its n-grams."""
         found = {o: [] for o in range(MAX_GRAM + 1)}
-        table = self.rows.select("gram_order", "key", "lang_no", "n").toArrow()
+        rows = self.rows if words else self.rows.filter("gram_order > 0")
+        table = rows.select("gram_order", "key", "lang_no", "n").toArrow()
         orders, keys, langs, n = (table[c].to_numpy() for c in table.column_names)
         for order in found:
             at = orders == order
@@ -329,10 +339,11 @@ def learn(
                 size += r["rows"]
             for r in sums:
                 totals[0, languages.index(r["lang"])] = r["n"]
+            gram_rows = size
             size += held.filter("gram_order = 0").count()
             if size <= limit:
-                return LanguageTables(languages, totals, held).local()
-            return LanguageTables(languages, totals, checkpointed(held))
+                return LanguageTables(languages, totals, held, gram_rows, limit).local()
+            return LanguageTables(languages, totals, checkpointed(held), gram_rows, limit)
 
 
 def predict(text: Column, model: LanguageModel, spark) -> Column:
@@ -356,26 +367,61 @@ def _verdicts(found: list[tuple[str, float, float]]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["lang_pred", "score", "known"])
 
 
-def _word_rows(texts: DataFrame, text: str) -> DataFrame:
-    """text_key, row_no, word, n: the distinct words of every row."""
+def pack_places(places: np.ndarray) -> bytes:
+    """Rising numbers as steps of two bytes each, or of four where one is larger."""
+    steps = np.diff(places, prepend=0)
+    return (b"\0" + steps.astype("<u2").tobytes()) if steps.max(initial=0) < 1 << 16 else (b"\1" + steps.astype("<u4").tobytes())
+
+
+def unpack_places(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, "<u4" if packed[0] else "<u2", -1, 1), dtype=np.int64)
+
+
+def _requests(docs: DataFrame, text: str, spans: int) -> DataFrame:
+    """The words of ``docs`` once for each chunk of texts, and each text as places in its chunk's words.
+
+    kind 0, a text: chunk, text_key, places and counts of its distinct words. kind 1, the
+    words of a chunk that fall in a span: chunk, span, their places and themselves.
+    """
+    names = ["kind", "chunk", "span", "text_key", "places", "counts", "words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
+        chunk = TaskContext.get().partitionId() << 32
+        known: dict[str, int] = {}
+        texts: list[tuple] = []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            keys = word_keys(list(known))
+            at = ((keys >> np.uint64(32)) * np.uint64(spans) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(at, kind="stable")
+            words = np.array(list(known), object)[order]
+            starts = np.flatnonzero(np.diff(at[order], prepend=-1))
+            asked = [
+                (1, chunk, int(at[order[i]]), None, pack_places(order[i:j]), None, "\n".join(words[i:j]))
+                for i, j in zip(starts.tolist(), [*starts[1:].tolist(), order.size])
+            ]
+            types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*texts, *asked), types)], names)
+
         for batch in batches:
-            keys, rows, words, counts = [], [], [], []
             for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                row += 1
                 found = Counter(words_of(value.as_py()))
-                keys += [key] * len(found)
-                rows += [row] * len(found)
-                words += found
-                counts += found.values()
-            arrays = [pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), pa.array(words, pa.string()), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["text_key", "row_no", "word", "n"])
+                places = np.fromiter((known.setdefault(w, len(known)) for w in found), np.int64, len(found))
+                order = np.argsort(places)
+                counts = np.fromiter(found.values(), "<u4", len(found))[order]
+                texts.append((0, chunk, None, key, pack_places(places[order]), counts.astype("<u1" if counts.max(initial=0) < 256 else "<u4").tobytes(), None))
+                if len(known) > CHUNK_WORDS:
+                    yield from rows()
+                    known.clear()
+                    texts.clear()
+                    chunk += 1
+        if texts:
+            yield from rows()
+        known.clear()
         release_memory()
 
-    rows = texts.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "text_key long, row_no long, word string, n long")
+    rows = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "kind int, chunk long, span long, text_key long, places binary, counts binary, words string")
 
 
 def _unseen_grams(words: DataFrame) -> DataFrame:
@@ -392,68 +438,138 @@ def _unseen_grams(words: DataFrame) -> DataFrame:
     return words.select("key", "word").mapInArrow(run, "key long, gram_order int, gram_key long, cuts long")
 
 
-def _scored_words(words: DataFrame, model: LanguageTables) -> DataFrame:
-    """key, scores (one for each language), seen of the distinct ``words`` (key, word)."""
+def _backed_off(unseen: DataFrame, grams: LanguageModel) -> DataFrame:
+    """span, key, scores, seen of words (span, key, word) by n-grams that fit in memory."""
+    shared = unseen.sparkSession.sparkContext.broadcast(grams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), NEW_WORDS):
+                batch = whole.slice(start, NEW_WORDS)
+                scores, seen = shared.value.score_words(batch.column(2).to_pylist())
+                lists = pa.array(scores.astype(np.float32).tolist(), pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], lists, pa.array(seen)], ["span", "key", "scores", "seen"])
+        release_memory()
+
+    return unseen.select("span", "key", "word").mapInArrow(run, "span long, key long, scores array<float>, seen boolean")
+
+
+def _scored_words(words: DataFrame, model: LanguageTables, stack: ExitStack) -> DataFrame:
+    """span, key, scores (one for each language), seen of the distinct ``words`` (span, key, word)."""
     size = len(model.languages)
     totals = F.array(*(F.array(*map(F.lit, t)) for t in model.totals.tolist()))
     logs = F.log(F.col("n") / F.element_at(F.element_at(totals, F.col("gram_order") + 1), F.col("lang_no") + 1))
     floors = F.element_at(F.array(*(F.lit(floor_of(t)) for t in model.totals)), F.col("gram_order") + 1)
     by_lang = [F.max(F.when(F.col("lang_no") == i, logs)).alias(f"l{i}") for i in range(size)]
-    rows = model.rows.groupBy("gram_order", "key").agg(*by_lang)
-    rows = rows.select("gram_order", "key", F.array(*(F.coalesce(f"l{i}", floors) for i in range(size))).alias("scores"))
-    rows = checkpointed(rows)
+    in_memory = model.gram_rows <= model.limit
+    rows = (model.rows.filter("gram_order = 0") if in_memory else model.rows).groupBy("gram_order", "key").agg(*by_lang)
+    rows = rows.select("gram_order", "key", F.array(*(F.coalesce(f"l{i}", floors).cast("float") for i in range(size))).alias("scores"))
+    rows = stack.enter_context(scratch(rows))
     whole = rows.filter("gram_order = 0").select(F.col("key").alias("k"), "scores")
-    met = checkpointed(words.join(whole, F.col("key") == F.col("k"), "left").drop("k"))
+    met = stack.enter_context(scratch(words.join(whole, F.col("key") == F.col("k"), "left").select("span", "key", F.when(F.col("k").isNull(), F.col("word")).alias("word"), "scores")))
     unseen = met.filter("scores IS NULL")
+    known = met.filter("scores IS NOT NULL").select("span", "key", "scores", F.lit(True).alias("seen"))
+    if in_memory:
+        return known.unionByName(_backed_off(unseen, model.local(words=False)))
     grams = rows.filter("gram_order > 0").select(F.col("gram_order").alias("o"), F.col("key").alias("gram_key"), F.col("scores").alias("gram_scores"))
     cut = _unseen_grams(unseen).join(grams, ["gram_key"]).filter("o = gram_order")
     sums = [F.sum(F.col("gram_scores")[i]).alias(f"s{i}") for i in range(size)]
     found = cut.groupBy("key", "gram_order").agg(F.count("*").alias("found"), F.first("cuts").alias("cuts"), *sums).filter("2 * found >= cuts")
     down = F.lit(BACKOFF) * (F.lit(MAX_GRAM) - F.col("gram_order"))
-    means = F.array(*(F.col(f"s{i}") / F.col("found") - down for i in range(size))).alias("scores")
+    means = F.array(*((F.col(f"s{i}") / F.col("found") - down).cast("float") for i in range(size))).alias("scores")
     backed = found.select("key", "gram_order", means).groupBy("key").agg(F.max_by("scores", "gram_order").alias("b_scores"))
-    joined = unseen.select("key").join(backed.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left")
-    nothing = F.array(*(F.lit(0.0) for _ in range(size)))
-    backed = joined.select("key", F.coalesce("b_scores", nothing).alias("scores"), F.col("b_scores").isNotNull().alias("seen"))
-    return met.filter("scores IS NOT NULL").select("key", "scores", F.lit(True).alias("seen")).unionByName(backed)
+    joined = unseen.select("span", "key").join(backed.withColumnRenamed("key", "k"), F.col("key") == F.col("k"), "left")
+    nothing = F.array(*(F.lit(0.0).cast("float") for _ in range(size)))
+    backed = joined.select("span", "key", F.coalesce("b_scores", nothing).alias("scores"), F.col("b_scores").isNotNull().alias("seen"))
+    return known.unionByName(backed)
+
+
+def _text_verdicts(docs: DataFrame, model: LanguageTables, text: str) -> DataFrame:
+    """text_key, found: the ``VERDICT`` of every text that is not null, by the model's tables.
+
+    A chunk asks for the scores of its distinct words span by span, as one row each, and is
+    answered in the same order; a word that many chunks hold is scored once.
+    """
+    spark, size, languages = docs.sparkSession, len(model.languages), model.languages
+    volume = docs.agg(F.sum(F.octet_length(text).cast("long")).alias("n")).first()["n"] or 0
+    spans = min(MAX_SPANS, -(-volume // SPAN_BYTES) or 1)
+    width = max(shuffle_width(spark), spans)
+    chunks = max(shuffle_width(spark), volume // PARTITION_BYTES)
+    with ExitStack() as stack:
+        held = stack.enter_context(scratch(_requests(docs, text, spans)))
+        asked = held.filter("kind = 1").select("chunk", "span", "places", "words")
+
+        def distinct(key: tuple, table: pa.Table) -> pa.Table:
+            words = sorted(set().union(*(w.as_py().split("\n") for w in table["words"])))
+            keys = pa.array(word_keys(words).view(np.int64))
+            return pa.table({"span": pa.array([key[0].as_py()] * len(words), pa.int64()), "key": keys, "word": pa.array(words, pa.string())})
+
+        dealt = asked.repartition(width, "span")
+        words = stack.enter_context(scratch(dealt.groupBy("span").applyInArrow(distinct, "span long, key long, word string")))
+        scored = _scored_words(words, model, stack)
+
+        def answer(key: tuple, requests: pa.Table, table: pa.Table) -> pa.Table:
+            order = np.argsort(table["key"].to_numpy().view(np.uint64))
+            keys = table["key"].to_numpy().view(np.uint64)[order]
+            scores = table["scores"].combine_chunks().flatten().to_numpy().reshape(-1, size)[order]
+            seen = table["seen"].to_numpy()[order].astype(np.float32)
+            known = np.column_stack([scores, seen]).astype("<f4")
+            told = [known[np.searchsorted(keys, word_keys(w.as_py().split("\n")))].tobytes() for w in requests["words"]]
+            return pa.table({"chunk": requests["chunk"], "places": requests["places"], "told": pa.array(told, pa.binary())})
+
+        pairs = dealt.groupBy("span").cogroup(scored.repartition(width, "span").groupBy("span"))
+        answers = pairs.applyInArrow(answer, "chunk long, places binary, told binary")
+
+        def judge(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+            asked = [unpack_places(p.as_py()) for p in answers["places"]]
+            table = np.empty((sum(map(len, asked)), size + 1))
+            for at, told in zip(asked, answers["told"]):
+                table[at] = np.frombuffer(told.as_buffer(), "<f4").reshape(-1, size + 1)
+            found = []
+            for at, n in zip(texts["places"], texts["counts"]):
+                at = unpack_places(at.as_py())
+                n = np.frombuffer(n.as_buffer(), "<u1" if len(n.as_buffer()) == at.size else "<u4").astype(float)
+                if not at.size:
+                    found.append((UNKNOWN, 0.0, 0.0))
+                    continue
+                total = n @ table[at]
+                found.append((*verdict_of(languages, total[:-1]), float(total[-1] / n.sum())))
+            return pa.table({"text_key": texts["text_key"], "found": _verdicts(found)})
+
+        texts = held.filter("kind = 0").select("chunk", "text_key", "places", "counts").repartition(chunks, "chunk")
+        judged = texts.groupBy("chunk").cogroup(answers.repartition(chunks, "chunk").groupBy("chunk"))
+        judged = judged.applyInArrow(judge, f"text_key long, found {VERDICT}")
+        return checkpointed(judged.groupBy("text_key").agg(F.min("found").alias("found")))
 
 
 def identify(docs: DataFrame, model: LanguageModel | LanguageTables, text: str = "text", into: str = "language") -> DataFrame:
-    """``docs`` with column ``into``: the ``VERDICT`` of every row."""
-    spark = docs.sparkSession
+    """``docs`` without ``text``, with column ``into``: the ``VERDICT`` of every row."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != text]
     if isinstance(model, LanguageModel):
-        return docs.withColumn(into, predict(F.col(text), model, spark))
-    size = len(model.languages)
-    rows = _word_rows(docs, text).withColumn("key", F.xxhash64("word"))
-    with scratch(rows.drop("word")) as held, scratch(rows.groupBy("key").agg(F.first("word").alias("word"), F.count("*").alias("texts"))) as words:
-        scored = checkpointed(_scored_words(words.select("key", "word"), model).withColumnRenamed("key", "k"))
-        # words that a thousandth of the texts hold: at most a thousand times the words of a text
-        texts = held.select("row_no").distinct().count()
-        often = F.broadcast(checkpointed(words.filter(F.col("texts") > max(1000, texts // 1000)).select(F.col("key").alias("k")).join(scored, "k")))
-        rare = scored.join(often.select("k"), "k", "left_anti")
-        parts = held.join(often, F.col("key") == F.col("k")).drop("k")
-        parts = parts.unionByName(held.join(often.select("k"), F.col("key") == F.col("k"), "left_anti").join(rare, F.col("key") == F.col("k")).drop("k"))
-        sums = [F.sum(F.col("scores")[i] * F.col("n")).alias(f"s{i}") for i in range(size)]
-        known = F.sum(F.when(F.col("seen"), F.col("n")).otherwise(0)) / F.sum("n")
-        totals = checkpointed(parts.groupBy("text_key", "row_no").agg(*sums, known.alias("known")))
+        return docs.select(*kept, predict(F.col(text), model, docs.sparkSession).alias(into))
+    found = _text_verdicts(docs, model, text).withColumnRenamed("text_key", "veridra_known_key")
+    without = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("known"))
+    keyed = docs.select(*kept, F.xxhash64(text).alias("veridra_text_key"))
+    joined = keyed.join(found.withColumnRenamed("found", "veridra_found"), F.col("veridra_text_key") == F.col("veridra_known_key"), "left")
+    return joined.select(*kept, F.coalesce("veridra_found", without).alias(into))
 
-    @F.arrow_udf(VERDICT)
-    def verdict(totals: pa.Array, known: pa.Array) -> pa.Array:
-        table = totals.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-        return _verdicts([(*verdict_of(model_languages, t), k) for t, k in zip(table, known.to_pylist())])
 
-    model_languages = model.languages
-    found = totals.groupBy("text_key").agg(*(F.min_by(f"s{i}", "row_no").alias(f"s{i}") for i in range(size)), F.min("known").alias("known"))
-    found = found.select("text_key", verdict(F.array(*(F.col(f"s{i}") for i in range(size))), F.col("known")).alias("found_verdict"))
-    without = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("known"))
-    keyed = docs.withColumn("veridra_text_key", F.xxhash64(text))
-    joined = keyed.join(found, F.col("veridra_text_key") == F.col("text_key"), "left")
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), F.coalesce("found_verdict", without).alias(into))
+def accepted(verdict: Column, keep: list[str] | None = None) -> Column:
+    """Whether a ``VERDICT`` names a language (of ``keep`` if given) of which the model has seen something in the text."""
+    good = (verdict["lang_pred"] != F.lit(UNKNOWN)) & (verdict["known"] > 0)
+    return good if keep is None else good & verdict["lang_pred"].isin(keep)
+
 
+def select_texts(docs: DataFrame, model: LanguageModel | LanguageTables, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Rows of ``docs`` whose verdict is ``accepted``.
 
-def select_languages(docs: DataFrame, verdict: Column, keep: list[str] | None = None) -> DataFrame:
-    """Rows whose verdict is a language (of ``keep`` if given); ``und`` goes."""
-    accepted = verdict != F.lit(UNKNOWN)
-    if keep is not None:
-        accepted &= verdict.isin(keep)
-    return docs.filter(accepted)
+    A joined model does not shuffle the texts for it while those that go are few.
+    """
+    spark = docs.sparkSession
+    if isinstance(model, LanguageModel):
+        judged = docs.withColumn("veridra_verdict", predict(F.col(text), model, spark)).filter(accepted(F.col("veridra_verdict"), keep))
+        return judged.select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = _text_verdicts(docs, model, text)
+    gone = checkpointed(found.filter(~accepted(F.col("found"), keep)).select("text_key"))
+    hint = F.broadcast if gone.count() <= MAX_BROADCAST_KEYS else (lambda table: table)
+    return docs.filter(F.col(text).isNotNull()).join(hint(gone), F.xxhash64(text) == F.col("text_key"), "left_anti")

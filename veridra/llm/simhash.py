@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release_memory, shuffle_width
+from .common import checkpointed, release_memory, width_for
 from .components import connected_components, local_components
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
@@ -219,7 +219,9 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
         "part",
         "fp",
     )
-    width = shuffle_width(spark)
+    # a key's fingerprints travel once for each of its blocks, in rows of some 48 bytes
+    copies = sizes.agg(F.sum(F.col("n") * F.col("blocks")).alias("n")).first()["n"] or 0
+    width = width_for(spark, 48 * copies)
     rows = rows.repartition(width, "task").sortWithinPartitions("key", "a", "b", "part", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

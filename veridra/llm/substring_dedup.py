@@ -177,11 +177,14 @@ class Deal:
 LAST_ID = np.iinfo(np.int64).max
 
 
-def deal_blocks(docs: DataFrame, doc_id: str, text: str, block_bytes: int) -> Deal:
-    """Blocks of about ``block_bytes``; 12 bytes on the driver and the workers for each."""
+def deal_blocks(docs: DataFrame, doc_id: str, text: str, block_bytes: int, total: int = 0) -> Deal:
+    """Blocks of about ``block_bytes`` of the ``total`` bytes; 16 bytes on the driver and the workers for each."""
+    spark = docs.sparkSession
     size = F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
     ids = docs.groupBy(F.coalesce(F.col(doc_id), F.lit(LAST_ID)).alias("id")).agg(F.sum(size + 1).alias("size"))
-    rows = ids.repartitionByRange(shuffle_width(docs.sparkSession), "id").sortWithinPartitions("id")
+    # a partition sorts the ids of some hundreds of blocks
+    width = max(shuffle_width(spark), total // (256 * block_bytes))
+    rows = ids.repartitionByRange(width, "id").sortWithinPartitions("id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # bytes of the block that is being filled
@@ -232,7 +235,7 @@ def remove_repeats(
     windows = total // WINDOW_BYTES
     if block_bytes is None:
         block_bytes = min(MAX_BLOCK_BYTES, max(BLOCK_BYTES, PACKED * windows // range_windows * WINDOW_BYTES))
-    deal = deal_blocks(plain, f"c{at_id}", f"c{at_text}", block_bytes)
+    deal = deal_blocks(plain, f"c{at_id}", f"c{at_text}", block_bytes, total)
     ranges = max(1, -(-windows // range_windows))
     shared = spark.sparkContext.broadcast(deal)
     n_blocks = int(deal.parts.sum())
