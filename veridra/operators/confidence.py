@@ -52,6 +52,7 @@ def score(merged: DataFrame) -> DataFrame:
 
     adjust = F.when(F.size(partly) > 0, fuzzy(F.element_at(partly, -1))).otherwise(0.0)  # the last one counts
     final = bounded(base + bonus + penalty + validity + adjust)
+    # fixed values: the wording of the steps
     steps = F.concat(
         F.array_compact(
             F.array(

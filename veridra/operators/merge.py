@@ -61,6 +61,7 @@ def vote(clustered: DataFrame, timestamp: str | None = None) -> DataFrame:
     )
     primary = F.element_at("winners", 1)
     sources = F.transform("winners", lambda w: w["source"])
+    # fixed value: the wording of the decision
     decision = F.concat(
         F.format_string("Selected value '%s' with aggregate confidence score %.2f supported by %d source(s) (", F.col("value_key"), F.col("score"), F.size("winners")),
         F.array_join(sources, ", "),

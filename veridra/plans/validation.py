@@ -33,7 +33,8 @@ def _messages(column: Column, bad: Column, before: str, after: str) -> Column:
 def validate(projected: DataFrame, settings: dict) -> DataFrame:
     """``projected`` with ``is_valid``, ``errors`` and ``warnings``.
 
-    Types are known when the plan is built; the rest is judged row by row.
+    Types are known when the plan is built; the rest is judged row by row. The wording of
+    errors and warnings, here and below, is of fixed values.
     """
     settings = with_defaults(settings)
     schema, on_missing = projected.schema, settings["on_missing"]
