@@ -218,7 +218,18 @@ def leader_cluster_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("grp", F.col("z.g.name").alias("name"), F.get("g", F.col("z.heads"))["name"].alias("leader"))
 
 
-@_query()
+_HEADERS = r"\b(technical\s+skills|skills|work\s+experience|professional\s+experience|experience|academic\s+history|education|projects|achievements|awards|certifications|licenses)\b"
+
+
+@_query(
+    f"""
+    WITH m AS (SELECT doc_id, text, list_transform(regexp_extract_all(lower(text), '{_HEADERS}'), lambda x: string_split(regexp_replace(x, '\\s+', ' ', 'g'), ' ')[-1]) AS hits
+               FROM documents)
+    SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(list_sort(list_distinct(list_concat(['header'], list_transform(hits, lambda h:
+               CASE h WHEN 'history' THEN 'education' WHEN 'awards' THEN 'achievements' WHEN 'licenses' THEN 'certifications' ELSE h END)))), ',') END AS labels,
+           CAST(length(regexp_replace(text, '(?is){_HEADERS}.*$', '')) AS INTEGER) AS header_chars FROM m
+    """
+)
 def section_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of documents by header words."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", resume_text.segment(F.col("text")).alias("s"))
