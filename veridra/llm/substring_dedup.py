@@ -20,7 +20,7 @@ removal intervals.
 
 The text is shuffled once; both uses of a block read that shuffle. Blocks grow with the
 table up to ``MAX_BLOCK_BYTES`` so that a packed row holds many hashes: ``PACKED`` or
-more up to about 1 TB, some ten at 10 TB, and single ones at 100 TB. Hashes have 64
+more up to about 0.7 TB, some five at 10 TB, and single ones at 100 TB. Hashes have 64
 bits after mixing: n distinct windows meet falsely with probability n²/2⁶⁵.
 
 Defined results: null and empty texts have no words; shorter documents than a
