@@ -441,3 +441,72 @@ def test_work_blocks_of_long_texts(spark):
     assert len(found[0]) == 400 and found[0][0]["company"] == "line 2" and found[0][1]["company"] == "Firm5"
     assert found[0][1]["summary"] == "line 6\nline 7\nline 8\nline 9"
     assert found[1] == [] and found[2] is None and found[3][0]["summary"] == "lines"
+
+
+def rows_made(frame):
+    """Most rows that a broadcast and that a join of the plan made, once it has run."""
+    frame.collect()
+    most, open_ = {"Broadcast": 0, "Join": 0}, [frame._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            open_.append(node.executedPlan())
+        elif "QueryStage" in node.getClass().getSimpleName():
+            open_.append(node.plan())
+        elif name.startswith("Reused"):
+            continue
+        open_.extend(node.children().apply(i) for i in range(node.children().size()))
+        made = node.metrics().get("numOutputRows")
+        kind = "Broadcast" if name == "BroadcastExchange" else "Join" if name.endswith("Join") else None
+        if kind and made.isDefined():
+            most[kind] = max(most[kind], made.get().value())
+    return most
+
+
+def stored(spark, path, rows, schema):
+    """Rows in a file, whose size Spark knows: it then plans broadcasts."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(path))
+    return spark.read.parquet(str(path))
+
+
+def alike(spark, path):
+    """Rows and names that nearly all match one another, 400 each."""
+    rows = [(str(i), f"Customer#{i:09}", f"c{i}@x.org", i) for i in range(400)]
+    return stored(spark, path, rows, "candidate_id string, full_name string, email string, csv_ord int")
+
+
+def matched_rows(spark):
+    names = ["Ana Prova", "ana prova", "Bo", "b", None, "", " ", "x" * 70 + " one", "the " + "x" * 70 + " one and more", "x" * 70, "cu", "Customer 01", "y" * 200]
+    rows = [(str(100 + i), n, None if i % 3 else f"M{i // 6}@x.org ", i) for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, "candidate_id string, full_name string, email string, csv_ord int"), rows
+
+
+MATCHING_NAMES = ["prova", "PROVA ", None, "", "o", "dr ana prova iii", "x" * 69, "x" * 70 + " one", "a " + "x" * 70 + " one", "zz", "er 0", "y" * 65, "y" * 201, "customer 011"]
+
+
+def first_of(rows, meets):
+    return next((key for key, name, mail, _ in rows if meets((name or "").lower().strip(), (mail or "").lower().strip())), None)
+
+
+def either_way(mine, name):
+    return bool(mine and name and (mine in name or name in mine))
+
+
+@pytest.mark.parametrize("longest", [64, 3])
+def test_first_row_of_a_profile_is_that_of_all_pairs(spark, monkeypatch, longest):
+    monkeypatch.setattr(match, "LONGEST", longest)
+    table, rows = matched_rows(spark)
+    people = [(u, n) for u, n in zip([*"abcdefghij", "Er 0", "BO", "", "nobody"], MATCHING_NAMES)]
+    found = {r["username"]: r["candidate_id"] for r in match.match_profiles(spark.createDataFrame(people, "username string, name string"), table).collect()}
+    wanted = {u: first_of(rows, lambda name, _: either_way((n or "").lower().strip(), name) or bool(u and name and u.lower() in name)) for u, n in people}
+    assert found == wanted
+
+
+def test_profiles_that_match_many_rows_make_no_pairs(spark, tmp_path):
+    """Neither pairs nor the pieces of names, which were broadcast: that failed at 900,000 rows."""
+    people = [(f"r#{i:09}", "000" if i % 2 else f"customer#{i:09}") for i in range(400)]
+    found = match.match_profiles(stored(spark, tmp_path / "p", people, "username string, name string"), alike(spark, tmp_path / "c"))
+    made = rows_made(found)
+    assert made["Broadcast"] <= 800 and made["Join"] <= 20 * 800
+    assert {r["username"]: r["candidate_id"] for r in found.collect()} == {f"r#{i:09}": "0" if i % 2 else str(i) for i in range(400)}
