@@ -510,3 +510,21 @@ def test_profiles_that_match_many_rows_make_no_pairs(spark, tmp_path):
     made = rows_made(found)
     assert made["Broadcast"] <= 800 and made["Join"] <= 20 * 800
     assert {r["username"]: r["candidate_id"] for r in found.collect()} == {f"r#{i:09}": "0" if i % 2 else str(i) for i in range(400)}
+
+
+@pytest.mark.parametrize("longest", [64, 3])
+def test_first_row_of_a_resume_is_that_of_all_pairs(spark, monkeypatch, longest):
+    monkeypatch.setattr(match, "LONGEST", longest)
+    table, rows = matched_rows(spark)
+    papers = [(f"{i:02}.pdf", n, [[], None, ["m1@X.org"], ["none@x.org", " M0@x.org"], [None, ""]][i % 5]) for i, n in enumerate(MATCHING_NAMES)]
+    found = match.match_resumes(spark.createDataFrame(papers, "resume_path string, name string, emails array<string>"), table)
+    wanted = {p: first_of(rows, lambda name, mail: either_way((n or "").lower().strip(), name) or bool(mail) and mail in [(m or "").lower().strip() for m in ms or []]) for p, n, ms in papers}
+    assert {r["resume_path"]: r["candidate_id"] for r in found.collect()} == wanted
+
+
+def test_resumes_that_match_many_rows_make_no_pairs(spark, tmp_path):
+    papers = [(f"{i}.pdf", f"mr customer#{i:09} junior" if i % 2 else "customer", [f"C{i}@X.org"] if i % 4 == 0 else []) for i in range(400)]
+    found = match.match_resumes(stored(spark, tmp_path / "p", papers, "resume_path string, name string, emails array<string>"), alike(spark, tmp_path / "c"))
+    made = rows_made(found)
+    assert made["Broadcast"] <= 800 and made["Join"] <= 20 * 800
+    assert {r["resume_path"]: r["candidate_id"] for r in found.collect()} == {f"{i}.pdf": str(i) if i % 2 else "0" for i in range(400)}
