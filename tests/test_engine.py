@@ -528,3 +528,14 @@ def test_resumes_that_match_many_rows_make_no_pairs(spark, tmp_path):
     made = rows_made(found)
     assert made["Broadcast"] <= 800 and made["Join"] <= 20 * 800
     assert {r["resume_path"]: r["candidate_id"] for r in found.collect()} == {f"{i}.pdf": str(i) if i % 2 else "0" for i in range(400)}
+
+
+def test_resolving_an_id_makes_no_pairs(spark, tmp_path):
+    rows = alike(spark, tmp_path / "c")
+    resumes = match.match_resumes(stored(spark, tmp_path / "r", [(f"{i}.pdf", "nobody", ["none"]) for i in range(400)], "resume_path string, name string, emails array<string>"), rows)
+    people = [(f"u{i:03}", "000" if i else "customer#000000007") for i in range(400)]
+    profiles = match.match_profiles(stored(spark, tmp_path / "p", people, "username string, name string"), rows)
+    one = match.resolve_id("AUTO", resumes, profiles, rows)
+    made = rows_made(one)
+    assert made["Broadcast"] <= 800 and made["Join"] <= 20 * 800
+    assert one.first()["candidate_id"] == "7"
